@@ -8,13 +8,15 @@ n - ceil(t n) + 1 tokens of a set of n). Each order is a filter of its own; a ca
    order. They only steer which tokens stand in prefixes; any classes give the same result.
 2. Sets are named by a hash of their tokens, so exact copies meet as one set. Prefix tokens under the
    first order travel to the bucket of the token. A token with few sets yields size-filtered pairs; one
-   with many sets hangs them on one hub, and the components of those stars become blocks.
-3. Blocks are cut by set size and hash into cells, and cell pairs of compatible sizes into tiles,
-   inside which all pairs are checked together. Pairs outside blocks pass the prefix filters of the
-   other orders on small prefix sketches, and are then verified on whole sets.
+   with many sets hangs them on one hub.
+3. Pairs must also share a prefix token under each further order, checked on small prefix sketches.
+   Components of the pairs that are left and of the stars are blocks. Blocks are cut by set size and hash
+   into cells, and cell pairs of compatible sizes into tiles, inside which all pairs are verified together
+   on whole sets; a set travels once to each tile, not once for each pair.
 4. Verified links make components, which documents get back through their set's name.
 
-Token sets are only rebuilt for sets in a candidate, found by a Bloom bitmap of bounded size.
+Token sets are only rebuilt for sets in a candidate, found by a Bloom bitmap of bounded size. Tokens are
+shipped as 48 bits of their hash.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,7 +234,7 @@ def _bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, classes, bloom, bits: int) -> Iterator[pa.RecordBatch]:
     """Sets of candidates: name, size, tokens, and 16-bit sketches of their prefixes under the further orders."""
-    have = bloom.value
+    have, src = bloom.value, TaskContext.get().partitionId() << 32
     for _, tokens, off, sig, rows in _sets(batches, k, 0):
         c = _bloom_cells(sig[rows], bits)
         rows = rows[have[c[0]] & have[c[1]]]
@@ -249,7 +252,9 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int,
                 x = rank[cut[i] : cut[i + 1]]
                 own.append(np.unique((np.partition(x, p[i] - 1)[: p[i]] if p[i] < len(x) else x).astype(np.uint16)).tobytes())
             sketch.append(pa.array(own, pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(n, pa.int32()), *sketch, W.binary_column(kept, cut)], ["sig", "n", "p2", "p3", "tokens"])
+        short = (kept >> W.U(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(src + np.arange(len(rows)), pa.int64()), pa.array(n, pa.int32()), *sketch, W.binary_column(short, cut)], ["sig", "src", "n", "p2", "p3", "tokens"])
+        src += len(rows)
 
 
 def _meets(x: bytes, y: bytes) -> bool:
@@ -263,21 +268,17 @@ def _prefixes_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(den * both >= num * (len(x) + len(y) - both))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _wide(tokens: bytes) -> np.ndarray:
+    out = np.zeros((len(tokens) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFrame:
     """Links among the sets of a tile: between its two cells, or within its one."""
     pdf = pdf.drop_duplicates("sig").sort_values("sig")
     sig, cell = pdf["sig"].to_numpy(), pdf["cell"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
+    sets = [_wide(x) for x in pdf["tokens"]]
     n = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     names, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -317,29 +318,26 @@ def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     buckets = 4 * shuffle_parts(spark)
     posted = text.mapInArrow(lambda it: _postings(it, k, num, den, classes, buckets), "bucket int, token binary, sig binary, n binary")
-    cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).distinct(), "candidates")
-    blocks = stored(connected_components(cand.where("kind = 1").select("a", "b")), "blocks")
-    side = lambda n: blocks.select(F.col("node").alias(n), F.col("root").alias(f"{n}_block"))
-    pairs = cand.where("kind = 0").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    pairs = stored(pairs.where("a_block is null or b_block is null or a_block <> b_block").select("a", "b"), "pairs")
-    involved = pairs.select("a").union(pairs.select("b")).union(blocks.select("node")).distinct()
+    cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).select("kind", "a", "b").distinct(), "candidates")
+    involved = cand.select("a").union(cand.select("b")).distinct()
     bits = int(min(27, max(16, np.ceil(np.log2(16 * involved.count() + 1)))))
     have = np.zeros((1 << bits) // 8, np.uint8)
     for r in involved.mapInArrow(lambda it: _bloom_part(it, bits), "bits binary").toLocalIterator():
         have |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     bloom = spark.sparkContext.broadcast(np.unpackbits(have).astype(bool))
-    sets = text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, n int, p2 binary, p3 binary, tokens binary")
-    sets = stored(sets.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "p2", "p3", "tokens"))), "sets")
-    small = lambda n: sets.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
-    left = stored(pairs.join(small("a"), "a").join(small("b"), "b").mapInArrow(_prefixes_meet, "a long, b long"), "pairs")
-    whole = lambda n: sets.select(F.col("sig").alias(n), F.col("tokens").alias(f"{n}_tokens"))
-    loose = left.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(lambda it: _verified(it, num, den), "a long, b long")
-    return loose.union(_block_links(blocks, sets, num, den))
+    # equal sets of several partitions stand here several times; the least src of each counts
+    sets = stored(text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, src long, n int, p2 binary, p3 binary, tokens binary"), "sets")
+    one = sets.select("sig", "src").groupBy("sig").agg(F.min("src").alias("src"))
+    small = stored(sets.select("sig", "src", "n", "p2", "p3").join(one, ["sig", "src"]), "prefixes")
+    side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
+    left = cand.where("kind = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_prefixes_meet, "a long, b long")
+    blocks = connected_components(left.union(cand.where("kind = 1").select("a", "b")))
+    return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n"), sets.select("sig", "src", "tokens"), num, den)
 
 
-def _block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _block_links(blocks: DataFrame, sizes_of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     step = float(np.log(den / num)) if num < den else 1e-9
-    member = blocks.join(sets.select(F.col("sig").alias("node"), "n"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step) if num < den else F.col("n").cast("long"))
+    member = blocks.join(sizes_of.withColumnRenamed("sig", "node"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step) if num < den else F.col("n").cast("long"))
     sizes = member.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
     above = sizes.select("root", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
     below = sizes.select("root", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
@@ -350,10 +348,10 @@ def _block_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     here = F.transform(count("cells"), lambda x: tile(F.col("band"), False, F.least(x, F.col("c")), F.greatest(x, F.col("c"))))
     up = F.transform(count("above"), lambda x: tile(F.col("band"), True, F.col("c"), x))
     down = F.transform(count("below"), lambda x: tile(F.col("band") - 1, True, x, F.col("c")))
-    dealt = member.select("root", "node", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
-    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), F.concat_ws(":", "band", "c").alias("cell"))
+    dealt = member.select("root", "node", "src", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
+    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), "src", F.concat_ws(":", "band", "c").alias("cell"))
     dealt = dealt.withColumn("across", F.col("across") | (F.col("i") != F.col("j")))
-    whole = dealt.join(sets.select("sig", "tokens"), "sig").select("root", "g", "across", "i", "j", "sig", "cell", "tokens")
+    whole = dealt.join(sets, ["sig", "src"]).select("root", "g", "across", "i", "j", "sig", "cell", "tokens")
     return whole.groupBy("root", "g", "across", "i", "j").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long")
 
 
