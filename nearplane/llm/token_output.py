@@ -9,8 +9,9 @@ A shard is one row of a Parquet table: first_id, seq, n_docs, n_tokens, payload.
 `RPR1`, then uint32 first nonterminal, bytes per symbol, documents, rules, symbols; int64 ids and uint8 id
 flags of documents; int64 token counts; int64 first symbols; rule pairs; uint32 expansion lengths; symbols.
 
-Words repeat, so ids are looked up per unit: texts are cut before a space that a visible character
-follows, which is always an edge of the byte-level pre-tokenizer, and each distinct unit is encoded once.
+Words repeat, so ids are looked up per unit, and each distinct unit is encoded once. Texts are cut where
+the byte-level pre-tokenizer always has an edge: before a space that a visible character follows, between
+an ASCII letter and ASCII punctuation, and after a single line feed between visible characters.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,14 @@ CACHE_UNITS = 2_000_000
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:] = True
 _VISIBLE[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # may begin a Unicode space
+_ASCII = np.zeros(256, bool)
+_ASCII[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_PUNCT = _ASCII & ~_LETTER & ~_DIGIT
+SPECIAL = b"<|endoftext|>"
 _HEAD = struct.Struct("<4s5I")
 
 
@@ -68,7 +78,11 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(col), np.int64)
         cut = np.zeros(n, bool)
         cut[:-1] = (buf[:-1] == 0x20) & _VISIBLE[buf[1:]]
-        cut[off[1:-1][off[1:-1] > 0] - 1] = False  # a space that ends its text
+        raw = buf.tobytes()
+        if SPECIAL not in raw:
+            cut[1:] |= _LETTER[buf[:-1]] & _PUNCT[buf[1:]]
+            cut[2:] |= _ASCII[buf[:-2]] & (buf[1:-1] == 0x0A) & _VISIBLE[buf[2:]]
+        cut[off[1:-1][off[1:-1] > 0] - 1] &= buf[off[1:-1][off[1:-1] > 0] - 1] != 0x20  # a space that ends its text
         cut[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -78,11 +92,10 @@ class Encoder:
         place = np.minimum(np.searchsorted(self.hashes, names), max(0, len(self.hashes) - 1))
         new = self.hashes[place] != names if len(self.hashes) else np.ones(len(names), bool)
         if new.any():
-            raw = buf.tobytes()
             units = [raw[a:z].decode() for a, z in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.int32, int(size.sum()))
+            flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
             hashes = np.concatenate([self.hashes, names[new]])
             order = np.argsort(hashes, kind="stable")
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])[order]
@@ -97,16 +110,19 @@ class Encoder:
 
 def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their last flags, rules): rule k is nonterminal vocab + k. last marks ends of documents."""
-    seq, rules = ids.astype(np.int64), []
-    room = (1 << 16) - vocab if vocab < 1 << 16 else 1 << 20
+    small = vocab < 1 << 16  # then symbols stay under 2**16 and a pair fits 32 bits
+    kind, shift, mask = (np.uint32, np.uint32(16), np.uint32(0xFFFF)) if small else (np.uint64, np.uint64(32), np.uint64(0xFFFFFFFF))
+    seq, rules = ids.astype(kind), []
+    room = (1 << 16) - vocab if small else 1 << 20
     for _ in range(ROUNDS):
         if len(seq) < 2 or room <= 0:
             break
-        key = seq[:-1] << 32 | seq[1:]
+        key = seq[:-1] << shift | seq[1:]
         whole = ~last[:-1]
-        ordered = np.sort(key[whole])
+        ordered = key[whole]
         if not len(ordered):
             break
+        ordered.sort()
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(count >= MIN_COUNT)
@@ -115,19 +131,21 @@ def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, n
         often = often[np.argsort(-count[often], kind="stable")][: min(PAIRS_A_ROUND, room)]
         pairs = ordered[first[often]]
         by_key = np.argsort(pairs)
-        lefts = np.zeros(int(seq.max()) + 1, bool)
-        lefts[pairs >> 32] = True
-        at = np.flatnonzero(lefts[seq[:-1]] & whole)
-        place = np.minimum(np.searchsorted(pairs[by_key], key[at]), len(pairs) - 1)
-        hit = pairs[by_key][place] == key[at]
+        spot = lambda x: (x * kind(0x9E3779B1)) >> kind(kind(0).itemsize * 8 - 20)  # noqa: E731, B023
+        maybe = np.zeros(1 << 20, bool)  # most pairs are ruled out by one look-up
+        maybe[spot(pairs)] = True
+        at = np.flatnonzero(maybe[spot(key)] & whole)
+        some = key[at]
+        place = np.minimum(np.searchsorted(pairs[by_key], some), len(pairs) - 1)
+        hit = pairs[by_key][place] == some
         none = len(pairs)
-        rank = np.full(len(seq) + 1, none)
+        rank = np.full(len(seq) + 1, none, np.int32)
         rank[at[hit] + 1] = by_key[place[hit]]
         won = np.flatnonzero((rank[1:-1] < none) & (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
         got = rank[won + 1]
         used, number = np.unique(got, return_inverse=True)
         seq[won] = vocab + len(rules) + number
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in pairs[used].tolist()]
+        rules += [(p >> int(shift), p & int(mask)) for p in pairs[used].tolist()]
         room -= len(used)
         keep = np.ones(len(seq), bool)
         keep[won + 1] = False
@@ -250,7 +268,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for base, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = Shard(payload)
             start = base + np.cumsum(s.counts) - s.counts
-            crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(len(s.doc_ids))]
+            raw = memoryview(s.decode(s.symbols).astype("<u4").tobytes())
+            edge = np.concatenate([[0], np.cumsum(s.counts)]).tolist()
+            crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start, pa.int64()), pa.array(s.counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
