@@ -7,10 +7,11 @@ n - ceil(t n) + 1 tokens of a set of n). Each order is a filter of its own; a ca
    (log2 of the summed counts, for at most `MAX_FREQUENT` tokens) put frequent tokens last in every
    order. They only steer which tokens stand in prefixes; any classes give the same result.
 2. Sets are named by a hash of their tokens, so exact copies meet as one set. Prefix tokens under the
-   first order travel to the bucket of the token. A token with few sets yields size-filtered pairs; one
-   with many sets hangs them on one hub.
-3. Pairs must also share a prefix token under each further order, checked on small prefix sketches.
-   Components of the pairs that are left and of the stars are blocks. Blocks are cut by set size and hash
+   first order travel to the bucket of the token. There a set is paired with the larger sets of the token
+   that its size allows; where these are many, a chain through them stands for all their pairs.
+3. Pairs must also share a prefix token under each further order, checked on small prefix sketches, which
+   are weak for long texts; a parity bitmap bounds the sets' difference there.
+   Components of the pairs that are left and of the chains are blocks. Blocks are cut by set size and hash
    into cells, and cell pairs of compatible sizes into tiles, inside which all pairs are verified together
    on whole sets; a set travels once to each tile, not once for each pair.
 4. Verified links make components, which documents get back through their set's name.
@@ -37,7 +38,7 @@ from nearplane.llm.components import connected_components
 
 MAX_FREQUENT = 1_000_000
 LOCAL_FREQUENT = 3  # distinct sets of a partition that a token must stand in to be reported
-PAIRED = 32  # sets of one token up to which its pairs are listed
+PARTNERS = 16  # sets of one token and a matching size up to which pairs are listed
 CELL = 256  # sets of a cell of a block
 ORDERS = (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _SIG = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
@@ -170,15 +171,16 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
         yield flush()
 
 
-_CAND = "kind int, a long, na int, b long, nb int"
+_CAND = "kind int, a long, b long"
 
 
-def _cand(kind: int, a, na, b, nb) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a.view(np.int64)), pa.array(na, pa.int32()), pa.array(b.view(np.int64)), pa.array(nb, pa.int32())], ["kind", "a", "na", "b", "nb"])
+def _cand(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0, smaller set first) of tokens with few sets, and stars (kind 1) of those with many."""
+    """Of the sets of each token: pairs (kind 0) of a set with the few sets of a size it may match, and chains
+    (kind 1) of neighbours by size where a set has many, so that all these sets hang together."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -191,32 +193,27 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
     token, sig, n = token[keep], sig[keep], n[keep]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(token)))
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for g in range(2, PAIRED + 1):
-        at = first[size == g]
-        if len(at):
-            i, j = np.triu_indices(g, 1)
-            pairs.append(((at[:, None] + i).ravel(), (at[:, None] + j).ravel()))
-    if pairs:
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        ok = n[i].astype(np.int64) * den >= n[j].astype(np.int64) * num
-        i, j = i[ok], j[ok]
+    place = (np.cumsum(new) << 32) + n  # ascending: token, then size
+    at = np.arange(len(token))
+    partners = np.searchsorted(place, place - n + n.astype(np.int64) * den // num, "right") - at - 1
+    few = np.flatnonzero((partners > 0) & (partners <= PARTNERS))
+    if len(few):
+        i = np.repeat(few, partners[few])
+        j = _spans(few + 1, partners[few])
         low, high = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
         order = np.lexsort((high, low))
-        low, high, i, j = low[order], high[order], i[order], j[order]
+        low, high = low[order], high[order]
         keep = np.ones(len(low), bool)
         keep[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        i, j = i[keep], j[keep]
-        yield _cand(0, sig[i], n[i], sig[j], n[j])
-    big = np.flatnonzero(size > PAIRED)
-    if len(big):
-        hub = np.repeat(first[big], size[big])
-        member = _spans(first[big], size[big])
-        both = np.unique(np.stack([sig[hub], sig[member]], 1), axis=0)
-        zero = np.zeros(len(both), np.int32)
-        yield _cand(1, both[:, 0].copy(), zero, both[:, 1].copy(), zero)
+        yield _cand(0, low[keep], high[keep])
+    many = np.flatnonzero(partners > PARTNERS)
+    if len(many):
+        edge = np.zeros(len(token) + 1, np.int64)
+        np.add.at(edge, many, 1)
+        np.add.at(edge, many + partners[many], -1)
+        i = np.flatnonzero(np.cumsum(edge) > 0)
+        both = np.unique(np.stack([sig[i], sig[i + 1]], 1), axis=0)
+        yield _cand(1, both[:, 0].copy(), both[:, 1].copy())
 
 
 def _bloom_cells(sig: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -252,8 +249,9 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int,
                 x = rank[cut[i] : cut[i + 1]]
                 own.append(np.unique((np.partition(x, p[i] - 1)[: p[i]] if p[i] < len(x) else x).astype(np.uint16)).tobytes())
             sketch.append(pa.array(own, pa.binary()))
+        odd = [parity(kept[cut[i] : cut[i + 1]]) for i in range(len(rows))]
         short = (kept >> W.U(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(src + np.arange(len(rows)), pa.int64()), pa.array(n, pa.int32()), *sketch, W.binary_column(short, cut)], ["sig", "src", "n", "p2", "p3", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(src + np.arange(len(rows)), pa.int64()), pa.array(n, pa.int32()), *sketch, pa.array(odd, pa.binary()), W.binary_column(short, cut)], ["sig", "src", "n", "p2", "p3", "odd", "tokens"])
         src += len(rows)
 
 
@@ -261,10 +259,27 @@ def _meets(x: bytes, y: bytes) -> bool:
     return len(np.intersect1d(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), assume_unique=True)) > 0
 
 
-def _prefixes_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of whether each cell has an odd number of tokens; about a bit for every two tokens."""
+    bits = 1 << max(6, int(np.ceil(np.log2(max(1, len(tokens)) / 2))))
+    cells = (W.mix(tokens ^ W.U(0x9FB21C651E98DF25)) & W.U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At most as many tokens as stand in one of the two sets only; the larger bitmap is folded."""
+    v, w = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(v) > len(w):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    while len(w) > len(v):
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return int(np.bitwise_count(v ^ w).sum())
+
+
+def _filters_pass(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        ok = [_meets(x, y) and _meets(v, w) for x, y, v, w in zip(c["a2"].to_pylist(), c["b2"].to_pylist(), c["a3"].to_pylist(), c["b3"].to_pylist(), strict=True)]
+        c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+        ok = [_apart(o, p) * (den + num) <= (m + n) * (den - num) and _meets(x, y) and _meets(v, w) for o, p, m, n, x, y, v, w in zip(c["ao"], c["bo"], c["an"], c["bn"], c["a2"], c["b2"], c["a3"], c["b3"], strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -318,7 +333,7 @@ def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     buckets = 4 * shuffle_parts(spark)
     posted = text.mapInArrow(lambda it: _postings(it, k, num, den, classes, buckets), "bucket int, token binary, sig binary, n binary")
-    cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).select("kind", "a", "b").distinct(), "candidates")
+    cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).distinct(), "candidates")
     involved = cand.select("a").union(cand.select("b")).distinct()
     bits = int(min(27, max(16, np.ceil(np.log2(16 * involved.count() + 1)))))
     have = np.zeros((1 << bits) // 8, np.uint8)
@@ -326,11 +341,11 @@ def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         have |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     bloom = spark.sparkContext.broadcast(np.unpackbits(have).astype(bool))
     # equal sets of several partitions stand here several times; the least src of each counts
-    sets = stored(text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, src long, n int, p2 binary, p3 binary, tokens binary"), "sets")
+    sets = stored(text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, src long, n int, p2 binary, p3 binary, odd binary, tokens binary"), "sets")
     one = sets.select("sig", "src").groupBy("sig").agg(F.min("src").alias("src"))
-    small = stored(sets.select("sig", "src", "n", "p2", "p3").join(one, ["sig", "src"]), "prefixes")
-    side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
-    left = cand.where("kind = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_prefixes_meet, "a long, b long")
+    small = stored(sets.select("sig", "src", "n", "p2", "p3", "odd").join(one, ["sig", "src"]), "prefixes")
+    side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"), F.col("n").alias(f"{n}n"), F.col("odd").alias(f"{n}o"))
+    left = cand.where("kind = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _filters_pass(it, num, den), "a long, b long")
     blocks = connected_components(left.union(cand.where("kind = 1").select("a", "b")))
     return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n"), sets.select("sig", "src", "tokens"), num, den)
 
@@ -338,6 +353,9 @@ def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def _block_links(blocks: DataFrame, sizes_of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     step = float(np.log(den / num)) if num < den else 1e-9
     member = blocks.join(sizes_of.withColumnRenamed("sig", "node"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step) if num < den else F.col("n").cast("long"))
+    # a block of one cell is one tile; only larger ones are cut by size
+    total = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    member = member.join(total, "root").withColumn("band", F.when(F.col("members") > CELL, F.col("band")).otherwise(F.lit(0)))
     sizes = member.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
     above = sizes.select("root", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
     below = sizes.select("root", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
