@@ -9,8 +9,8 @@ n - ceil(t n) + 1 tokens of a set of n). Each order is a filter of its own; a ca
 2. Sets are named by a hash of their tokens, so exact copies meet as one set. Prefix tokens under the
    first order travel to the bucket of the token. There a set is paired with the larger sets of the token
    that its size allows; where these are many, a chain through them stands for all their pairs.
-3. Pairs must also share a prefix token under each further order, checked on small prefix sketches, which
-   are weak for long texts; a parity bitmap bounds the sets' difference there.
+3. A parity bitmap bounds the difference of the sets of a pair from below and rules most chance pairs out.
+   Pairs must also share a prefix token under each further order, checked on small prefix sketches.
    Components of the pairs that are left and of the chains are blocks. Blocks are cut by set size and hash
    into cells, and cell pairs of compatible sizes into tiles, inside which all pairs are verified together
    on whole sets; a set travels once to each tile, not once for each pair.
@@ -110,7 +110,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         n = off[rows + 1] - off[rows]
         held.append(tokens[_spans(off[rows], n)])
         size += len(held[-1])
-        if size > 12_000_000:
+        if size > 5_000_000:
             yield counted()
             held, size = [], 0
     if held:
@@ -146,13 +146,13 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
     size = 0
 
     def flush() -> pa.RecordBatch:
-        token, sig, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        token, sig, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (W.mix(token) % W.U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        token, sig, n = token[order], sig[order], n[order]
+        token, sig, n, place = token[order], sig[order], n[order], place[order]
         names, first = np.unique(bucket[order], return_index=True)
         cut = np.append(first, len(token))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), W.binary_column(token, cut), W.binary_column(sig, cut), W.binary_column(n, cut)], ["bucket", "token", "sig", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), W.binary_column(token, cut), W.binary_column(sig, cut), W.binary_column(n, cut), W.binary_column(place, cut)], ["bucket", "token", "sig", "n", "place"])
 
     for _, tokens, off, sig, rows in _sets(batches, k, 0):
         rank = ranked(tokens, 0, classes.value)
@@ -160,9 +160,8 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
             a, z = off[i], off[i + 1]
             p = int(prefix_sizes(z - a, num, den))
             own = rank[a:z]
-            if p < len(own):
-                own = np.partition(own, p - 1)[:p]
-            held.append((own, np.full(p, sig[i]), np.full(p, z - a, np.int32)))
+            own = np.sort(np.partition(own, p - 1)[:p] if p < len(own) else own)
+            held.append((own, np.full(p, sig[i]), np.full(p, z - a, np.int32), np.arange(p, dtype=np.int32)))
             size += p
         if size > 4_000_000:
             yield flush()
@@ -185,12 +184,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
     if not got:
         return
     t = pa.Table.from_batches(got)
-    token, sig, n = (W.joined_binary(t.column(c), d)[0] for c, d in (("token", np.uint64), ("sig", np.uint64), ("n", np.int32)))
+    token, sig, n, spot = (W.joined_binary(t.column(c), d)[0] for c, d in (("token", np.uint64), ("sig", np.uint64), ("n", np.int32), ("place", np.int32)))
     order = np.lexsort((sig, n, token))
-    token, sig, n = token[order], sig[order], n[order]
+    token, sig, n, spot = token[order], sig[order], n[order], spot[order]
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-    token, sig, n = token[keep], sig[keep], n[keep]
+    token, sig, n, spot = token[keep], sig[keep], n[keep], spot[keep]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     place = (np.cumsum(new) << 32) + n  # ascending: token, then size
@@ -200,6 +199,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
     if len(few):
         i = np.repeat(few, partners[few])
         j = _spans(few + 1, partners[few])
+        # if this is their first common token, at most the rest of either set is common
+        m = n.astype(np.int64)
+        ok = np.minimum(m[i] - spot[i], m[j] - spot[j]) * (den + num) >= num * (m[i] + m[j])
+        i, j = i[ok], j[ok]
         low, high = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
@@ -276,10 +279,17 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(v ^ w).sum())
 
 
-def _filters_pass(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _parities_pass(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-        ok = [_apart(o, p) * (den + num) <= (m + n) * (den - num) and _meets(x, y) and _meets(v, w) for o, p, m, n, x, y, v, w in zip(c["ao"], c["bo"], c["an"], c["bn"], c["a2"], c["b2"], c["a3"], c["b3"], strict=True)]
+        ok = [_apart(x, y) * (den + num) <= (m + n) * (den - num) for x, y, m, n in zip(c["ao"], c["bo"], c["an"], c["bn"], strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _prefixes_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+        ok = [_meets(x, y) and _meets(v, w) for x, y, v, w in zip(c["a2"], c["b2"], c["a3"], c["b3"], strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -290,7 +300,8 @@ def _wide(tokens: bytes) -> np.ndarray:
 
 
 def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFrame:
-    """Links among the sets of a tile: between its two cells, or within its one."""
+    """Of the links in a tile, between its two cells or within its one: for each set a row (set, set, documents
+    linked), and edges (set, set, 0) of a spanning forest."""
     pdf = pdf.drop_duplicates("sig").sort_values("sig")
     sig, cell = pdf["sig"].to_numpy(), pdf["cell"].to_numpy()
     sets = [_wide(x) for x in pdf["tokens"]]
@@ -317,8 +328,21 @@ def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFra
         ok &= cell[:, None] != cell[None, :]
     elif pdf["across"].iloc[0]:
         ok[:] = False
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"a": sig[i], "b": sig[j]})
+    ok |= ok.T
+    linked = np.flatnonzero(ok.any(1))
+    copies = pdf["copies"].to_numpy()
+    out = [(sig[u], sig[u], int(copies[ok[u]].sum())) for u in linked]
+    left = np.ones(len(sets), bool)
+    for r in linked:
+        todo = [r] if left[r] else []
+        left[r] = False
+        while todo:
+            u = todo.pop()
+            for v in np.flatnonzero(ok[u] & left):
+                left[v] = False
+                out.append((sig[u], sig[v], 0))
+                todo.append(v)
+    return pd.DataFrame(out, columns=["a", "b", "w"]).astype("int64")
 
 
 def _named(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -326,13 +350,13 @@ def _named(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(sig.view(np.int64))], ["doc_id", "n_shingles", "sig"])
 
 
-def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): names of linked, different sets; each link once."""
+def _links(docs: DataFrame, copies: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, w): links that hold the components of different sets together, and rows (a, a, w) of linked documents."""
     spark = docs.sparkSession
     text = docs.select("text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     buckets = 4 * shuffle_parts(spark)
-    posted = text.mapInArrow(lambda it: _postings(it, k, num, den, classes, buckets), "bucket int, token binary, sig binary, n binary")
+    posted = text.mapInArrow(lambda it: _postings(it, k, num, den, classes, buckets), "bucket int, token binary, sig binary, n binary, place binary")
     cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).distinct(), "candidates")
     involved = cand.select("a").union(cand.select("b")).distinct()
     bits = int(min(27, max(16, np.ceil(np.log2(16 * involved.count() + 1)))))
@@ -344,10 +368,12 @@ def _links(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sets = stored(text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, src long, n int, p2 binary, p3 binary, odd binary, tokens binary"), "sets")
     one = sets.select("sig", "src").groupBy("sig").agg(F.min("src").alias("src"))
     small = stored(sets.select("sig", "src", "n", "p2", "p3", "odd").join(one, ["sig", "src"]), "prefixes")
-    side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"), F.col("n").alias(f"{n}n"), F.col("odd").alias(f"{n}o"))
-    left = cand.where("kind = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _filters_pass(it, num, den), "a long, b long")
+    odd = lambda n: small.select(F.col("sig").alias(n), F.col("n").alias(f"{n}n"), F.col("odd").alias(f"{n}o"))
+    left = cand.where("kind = 0").select("a", "b").join(odd("a"), "a").join(odd("b"), "b").mapInArrow(lambda it: _parities_pass(it, num, den), "a long, b long")
+    side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
+    left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prefixes_meet, "a long, b long")
     blocks = connected_components(left.union(cand.where("kind = 1").select("a", "b")))
-    return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n"), sets.select("sig", "src", "tokens"), num, den)
+    return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n").join(copies, "sig"), sets.select("sig", "src", "tokens"), num, den)
 
 
 def _block_links(blocks: DataFrame, sizes_of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -366,11 +392,11 @@ def _block_links(blocks: DataFrame, sizes_of: DataFrame, sets: DataFrame, num: i
     here = F.transform(count("cells"), lambda x: tile(F.col("band"), False, F.least(x, F.col("c")), F.greatest(x, F.col("c"))))
     up = F.transform(count("above"), lambda x: tile(F.col("band"), True, F.col("c"), x))
     down = F.transform(count("below"), lambda x: tile(F.col("band") - 1, True, x, F.col("c")))
-    dealt = member.select("root", "node", "src", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
-    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), "src", F.concat_ws(":", "band", "c").alias("cell"))
+    dealt = member.select("root", "node", "src", "copies", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
+    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), "src", "copies", F.concat_ws(":", "band", "c").alias("cell"))
     dealt = dealt.withColumn("across", F.col("across") | (F.col("i") != F.col("j")))
-    whole = dealt.join(sets, ["sig", "src"]).select("root", "g", "across", "i", "j", "sig", "cell", "tokens")
-    return whole.groupBy("root", "g", "across", "i", "j").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long")
+    whole = dealt.join(sets, ["sig", "src"]).select("root", "g", "across", "i", "j", "sig", "copies", "cell", "tokens")
+    return whole.groupBy("root", "g", "across", "i", "j").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long, w long")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -385,10 +411,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = stored(docs.mapInArrow(lambda it: _named(it, k), "doc_id long, n_shingles long, sig long"), "named")
     per = named.where("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order_id()).alias("least"))
-    links = stored(_links(docs, k, num, den), "links")
-    comp = connected_components(links)
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(per.select(F.col("sig").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("others"))
+    links = stored(_links(docs, per.select("sig", "copies"), k, num, den), "links")
+    comp = connected_components(links.select("a", "b"))
+    degree = links.groupBy(F.col("a").alias("sig")).agg(F.sum("w").alias("others"))
     per = per.join(comp.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = per.groupBy("root").agg(F.min("least").alias("component"))
     per = stored(per.join(least, "root").join(degree, "sig", "left").select("sig", "component", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
