@@ -14,6 +14,7 @@ subsequence, many stems to a machine word, leaves few words to the kernel.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -230,7 +231,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, inv, doc = strings(b.column(1))
         pair = np.unique(doc * max(1, len(x)) + inv)
         cut = np.searchsorted(pair, np.arange(b.num_rows + 1) * max(1, len(x)))
-        yield pa.RecordBatch.from_arrays([b.column(0), W.binary_column(x[pair % max(1, len(x))].reshape(-1), cut * ROW)], ["toxic", "strings"])
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), W.binary_column(x[pair % max(1, len(x))].reshape(-1), cut * ROW)], ["doc_id", "toxic", "strings"])
 
 
 def _svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 400) -> np.ndarray:
@@ -315,6 +316,8 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean) + len(plain))])
     nt, nc = max(1, label.sum()), max(1, (1 - label).sum())
     weight = np.concatenate([ct[toxic] / nt, np.maximum(cc[clean], 0.5) / nc * 3, np.full(len(plain), 1 / nc)]) * 100
+    # a text without any string near a stem is clean
+    f, y, weight = np.vstack([f, np.zeros(f.shape[1])]), np.append(y, -1.0), np.append(weight, 100.0)
     land = model.features(model.rows).astype(np.float64)
     val, vec = np.linalg.eigh((land + land.T) / 2)
     root = vec / np.sqrt(np.maximum(val, 1e-3))[None, :]
@@ -339,6 +342,12 @@ def _logistic(top: np.ndarray, label: np.ndarray, steps: int = 60) -> np.ndarray
     return w
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    rows = sorted((d, y, s) for b in batches for d, y, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    model = fit([(y, np.frombuffer(s, np.uint8).reshape(-1, ROW)) for _, y, s in rows], seed)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     """Fit on at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean labelled documents, those with the smallest seeded hashes."""
     lab = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -346,9 +355,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     part = lambda y, n: lab.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(n)
     some = F.broadcast(part(1, TRAIN_TOXIC).union(part(0, TRAIN_CLEAN)).select("doc_id", "toxic"))  # bounded above
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = text.join(some, "doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, strings binary")
-    bags = [(r["toxic"], np.frombuffer(r["strings"], np.uint8).reshape(-1, ROW)) for r in rows.toLocalIterator()]
-    return fit(bags, seed)
+    rows = text.join(some, "doc_id").select("toxic", "text", "doc_id").mapInArrow(_bags, "doc_id long, toxic int, strings binary")
+    # the sample is bounded, so one task can hold it; the driver only gets the model
+    got = rows.repartition(1).mapInArrow(lambda it: _fit_task(it, seed), "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([], seed)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
