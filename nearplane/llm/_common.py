@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWEST_ID = -(1 << 63)
-TEXT_SLICE = 8 << 20  # bytes of text that one numpy pass works on
+TEXT_SLICE = 4 << 20  # bytes of text that one numpy pass works on
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

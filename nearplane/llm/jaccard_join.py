@@ -163,7 +163,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
             own = np.sort(np.partition(own, p - 1)[:p] if p < len(own) else own)
             held.append((own, np.full(p, sig[i]), np.full(p, z - a, np.int32), np.arange(p, dtype=np.int32)))
             size += p
-        if size > 4_000_000:
+        if size > 1_500_000:
             yield flush()
             held, size = [], 0
     if held:
