@@ -7,7 +7,9 @@ bounded number and stand in the plan as a constant.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +44,9 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def size_bounds(b: int, threshold: float) -> tuple[int, int]:
-    """The fewest and most bigrams that can reach the threshold against b."""
-    low = int(-(-b * threshold // (2 - threshold)))
-    return low, int(b * (2 - threshold) / threshold)
+    """The fewest and most bigrams that can reach the threshold against b, exactly; the threshold is read as a decimal."""
+    t = Fraction(str(threshold))
+    return math.ceil(b * t / (2 - t)), math.floor(b * (2 - t) / t)
 
 
 def _bigrams(words: Column) -> Column:

@@ -166,6 +166,14 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_at_threshold(spark):
+    for b in range(1, 200):
+        fits = [n for n in range(1, 500) if 2.0 * min(n, b) / (n + b) >= license_scan.THRESHOLD]
+        assert license_scan.size_bounds(b, license_scan.THRESHOLD) == (fits[0], fits[-1])
+    d = spark.createDataFrame([(1, "Code is released under the MIT License.")], "doc_id long, text string")
+    assert [tuple(r) for r in license_scan.scan_licenses(d).collect()] == [(1, 0, "MIT", 0.8)]
+
+
 def test_source_mixing(docs, empty):
     rows = source_mixing.mix_sources(docs, {"domain": {"domain0": 3}}, 0.5, 2).collect()
     total = sum(len(words(t)) for _, t in ROWS)
