@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -174,6 +175,16 @@ def test_license_scan_at_threshold(spark):
     assert [tuple(r) for r in license_scan.scan_licenses(d).collect()] == [(1, 0, "MIT", 0.8)]
 
 
+def test_license_scan_texts_and_runs(spark):
+    text = license_scan.TEMPLATES["MIT-text"].strip()
+    wrapped = "\n".join(textwrap.wrap(text, 70))
+    notice = "We like prose here. Released under the MIT License. More prose comes after that one."
+    d = spark.createDataFrame([(1, text), (2, "def f(x):\n    return x\n\n" + wrapped + "\n\nand a long tail of words that is no licence"), (3, notice), (4, "Some code\nLicensed under the\nApache License, Version 2.0.\nmore words of code follow"), (5, "prose " + license_scan.TEMPLATES["GPL-3.0-text"].replace("\n", " "))], "doc_id long, text string")
+    got = {(r["doc_id"], r["line"], r["license"]) for r in license_scan.scan_licenses(d).collect()}
+    assert {(1, -1, "MIT-text"), (2, 3, "MIT-text"), (3, 0, "MIT"), (4, 1, "Apache-2.0"), (5, 0, "GPL-3.0-text")} <= got
+    assert {r for r in got if r[0] in (2, 3, 4, 5)} == {(2, -1, "MIT-text"), (2, 3, "MIT-text"), (3, 0, "MIT"), (4, 1, "Apache-2.0"), (5, 0, "GPL-3.0-text")}
+
+
 def test_source_mixing(docs, empty):
     rows = source_mixing.mix_sources(docs, {"domain": {"domain0": 3}}, 0.5, 2).collect()
     total = sum(len(words(t)) for _, t in ROWS)
