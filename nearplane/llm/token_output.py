@@ -5,7 +5,7 @@ most about `SHARD_TOKENS` ids. In a shard, rounds of Re-Pair replace frequent id
 pair spans two documents, so every document starts at a symbol, whose place the shard lists. Rules and
 their expansion lengths are stored, so one document decodes without its neighbours.
 
-A shard is one row of a Parquet table: first_id, seq, n_docs, n_tokens, payload. The payload is little-endian:
+A shard is one row of a Parquet table: first_id, part, seq, n_docs, n_tokens, payload; part and seq name it. The payload is little-endian:
 `RPR1`, then uint32 first nonterminal, bytes per symbol, documents, rules, symbols; int64 ids and uint8 id
 flags of documents; int64 token counts; int64 first symbols; rule pairs; uint32 expansion lengths; symbols.
 
@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,7 +223,7 @@ class Shard:
         return self.decode(self.symbols[self.first[i] : end])
 
 
-_SHARD = "first_id long, seq int, n_docs long, n_tokens long, payload binary"
+_SHARD = "first_id long, part int, seq int, n_docs long, n_tokens long, payload binary"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -234,13 +235,14 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     docs: list[int | None] = []
     held: list[np.ndarray] = []
     counts: list[np.ndarray] = []
+    part = TaskContext.get().partitionId()  # in range order
     size = seq = 0
 
     def shard() -> pa.RecordBatch:
         n = np.concatenate(counts)
         payload = pack(docs, n, np.concatenate(held), enc.vocab)
         low = -(1 << 63) if docs[0] is None else docs[0]
-        return pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([payload], pa.binary())], ["first_id", "seq", "n_docs", "n_tokens", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([payload], pa.binary())], ["first_id", "part", "seq", "n_docs", "n_tokens", "payload"])
 
     for b in W.slices(batches, TEXT_SLICE):
         ids, n = enc.encode(b.column(1))
@@ -276,9 +278,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """One row per document of a shard table: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32."""
-    before = Window.orderBy("first_id", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one small row per shard
-    base = stored(shards.select("first_id", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")), "bases")
-    return shards.join(base, ["first_id", "seq"]).select("base", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one small row per shard
+    base = stored(shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")), "bases")
+    return shards.join(base, ["part", "seq"]).select("base", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:

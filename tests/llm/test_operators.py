@@ -131,6 +131,14 @@ def test_token_output(spark, docs, empty):
     assert token_output.token_output(empty, path).count() == 0
 
 
+def test_token_output_one_id_in_many_tasks(spark):
+    public = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(None if i % 2 else 7, f"text number {i} {i * i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_output.token_output(d, public.path("byte_bpe_50k.json")).collect())
+    assert len(got) == 400 and [x[2] for x in got] == [None] * 200 + [7] * 200
+    assert [x[0] for x in got] == [0, *np.cumsum([x[1] for x in got])[:-1].tolist()]
+
+
 def test_repair_round_trip():
     counts = np.array([400, 1, 599])
     ids = np.tile(rng.integers(0, 9, 100), 10).astype(np.int32)
