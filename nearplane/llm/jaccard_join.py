@@ -347,7 +347,7 @@ def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFra
 
 def _named(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b, _, off, sig, _ in _sets(batches, k, 1, once=False):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off), pa.int64()), pa.array(sig.view(np.int64))], ["doc_id", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(off), pa.int64()), pa.array(sig.view(np.int64))], ["doc_id", "text_key", "n_shingles", "sig"])
 
 
 def _links(docs: DataFrame, copies: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -408,8 +408,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     (rows it is linked with). Rows that repeat a doc_id count each; a null doc_id counts as the smallest
     id and is given back as null. An empty table gives no rows; other columns are not read.
     """
+    return _joined(docs, k, num, den).drop("text_key")
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """jaccard_join() with a hash of each row's text, text_key, which tells rows of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = stored(docs.mapInArrow(lambda it: _named(it, k), "doc_id long, n_shingles long, sig long"), "named")
+    named = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lambda it: _named(it, k), "doc_id long, text_key long, n_shingles long, sig long"), "named")
     per = named.where("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order_id()).alias("least"))
     links = stored(_links(docs, per.select("sig", "copies"), k, num, den), "links")
     comp = connected_components(links.select("a", "b"))
@@ -419,14 +424,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     per = stored(per.join(least, "root").join(degree, "sig", "left").select("sig", "component", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
     out = named.join(per, "sig", "left")
     own = F.coalesce(F.col("component"), order_id())
-    return out.select("doc_id", "n_shingles", F.when(own == LOWEST_ID, F.lit(None).cast("long")).otherwise(own).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(own == LOWEST_ID, F.lit(None).cast("long")).otherwise(own).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that stand for their component: those with the smallest doc_id.
 
-    Of rows that repeat that doc_id all stay; texts without words are their own group.
+    Of a component's rows that repeat that doc_id all stay; rows of other components that have the id of a
+    row that goes are not touched; texts without words are their own group.
     """
-    joined = jaccard_join(docs, k, num, den)
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    joined = _joined(docs, k, num, den)
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")

@@ -70,6 +70,15 @@ def test_jaccard_join(docs, empty, k, num):
     assert jaccard_join.jaccard_join(empty, k, num, 100).count() == 0
 
 
+def test_one_per_group_repeated_ids(spark):
+    other = " ".join(f"b{i}" for i in range(120))
+    rows = [(3, BASE), (7, BASE.replace("a60 ", "zz ")), (7, other), (9, other.replace("b60 ", "zz ")), (None, "one two three"), (None, BASE + " end"), (5, None)]
+    kept = jaccard_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {tuple(r) for r in kept} == {(None, BASE + " end"), (7, other), (None, "one two three"), (5, None)}
+    kept = jaccard_join.one_per_group(spark.createDataFrame(rows[:4], "doc_id long, text string"), 4, 85, 100).collect()
+    assert {tuple(r) for r in kept} == {(3, BASE), (7, other)}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 6), (6, 7), (7, 1), (9, 9), (10, 12), (12, 11)], "a long, b long")
     assert {tuple(r) for r in components.connected_components(e).collect()} == {(1, 1), (5, 1), (6, 1), (7, 1), (9, 9), (10, 10), (11, 10), (12, 10)}
