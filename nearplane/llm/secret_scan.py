@@ -2,15 +2,18 @@
 
 Base spans are found by pattern. Linking then joins parts of one credential by interval: every span
 opens a scope of `SCOPE` code points to either side, and a weak candidate (a bare identifier, a bare key
-or an endpoint), too common to report alone, counts only where a scope of a complementary part covers it.
-Weak patterns are searched inside merged scopes only, so a text is read once for each base kind.
+or an endpoint), too common to report alone, counts only where it meets a scope of a complementary part,
+a base span or a weak candidate of another kind. Weak patterns are searched over the whole text, so
+matches are whole, and spans of a kind are sorted, so a look-up finds the nearest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ IDENT = re.compile(r"""(?:client|account|access|user|key)[_-]?(?:id|name)["']?\x
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])(?:[a-z0-9-]+\.)+(?:amazonaws\.com|internal|local)(?![A-Za-z0-9-])""")
 #: Weak kind -> kinds of which one must be near.
-NEEDS = {"ident": ("assign", "hex"), "weak": ("access",), "endpoint": ("access", "assign")}
+NEEDS = {"ident": ("assign", "hex", "weak", "endpoint"), "weak": ("access", "ident", "endpoint"), "endpoint": ("access", "assign", "ident", "weak")}
 _WEAK = {"ident": IDENT, "weak": WEAK, "endpoint": ENDPOINT}
 
 Span = tuple[int, int, str]
@@ -42,27 +45,37 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)
 
 
+def _weak_spans(text: str) -> list[Span]:
+    """Whole matches of the weak patterns, over the whole text."""
+    return [(*m.span(), kind) for kind, pattern in _WEAK.items() for m in pattern.finditer(text) if kind != "weak" or _mixed(m[0])]
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak candidates in the scope of a complementary base span and outside all base spans."""
-    out = []
+    """Weak candidates outside all base spans that a scope of a complementary base span or weak candidate touches."""
+    weak = _weak_spans(text)
+    if not weak:
+        return []
+    ends = {k: ([], []) for k in KINDS}
     taken = sorted((s, e) for s, e, _ in base)
-    for kind, pattern in _WEAK.items():
-        scopes: list[list[int]] = []
-        for s, e in sorted((s, e) for s, e, k in base if k in NEEDS[kind]):
-            if scopes and s - SCOPE <= scopes[-1][1]:
-                scopes[-1][1] = max(scopes[-1][1], e + SCOPE)
-            else:
-                scopes.append([max(0, s - SCOPE), e + SCOPE])
-        at = 0
-        for lo, hi in scopes:
-            for m in pattern.finditer(text, lo, min(hi, len(text))):
-                s, e = m.span()
-                while at < len(taken) and taken[at][1] <= s:
-                    at += 1
-                free = all(b >= e or t <= s for b, t in taken[at : at + 8])
-                if free and (kind != "weak" or _mixed(m[0])):
-                    out.append((s, e, kind))
-    return out
+    reach = list(accumulate((e for _, e in taken), max))  # the furthest end of the base spans so far
+
+    def free(s: int, e: int) -> bool:
+        at = bisect_left(taken, (e,))
+        return not at or reach[at - 1] <= s
+
+    weak = [x for x in weak if free(*x[:2])]
+    for k, (starts, furthest) in ends.items():
+        own = sorted((s, e) for s, e, kind in (*base, *weak) if kind == k)
+        starts += [s for s, _ in own]
+        furthest += accumulate((e for _, e in own), max)
+
+    def near(s: int, e: int, kind: str) -> bool:
+        """Whether a span of the kind starts at e + SCOPE at most and ends at s - SCOPE at least."""
+        starts, furthest = ends[kind]
+        at = bisect_right(starts, e + SCOPE)
+        return at > 0 and furthest[at - 1] >= s - SCOPE
+
+    return [(s, e, k) for s, e, k in weak if any(near(s, e, n) for n in NEEDS[k])]
 
 
 def _listed(spans: list[Span]) -> str:
@@ -74,7 +87,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in b.column(1).to_pylist():
             base = base_spans(text or "")
-            more = linked_spans(text, base) if base else []
+            more = linked_spans(text or "", base)
             n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
             rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more), len(more)))
         cols = list(zip(*rows, strict=True)) or [[]] * 6

@@ -118,6 +118,24 @@ def test_secret_scan(spark, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secret_scan_weak_parts(spark):
+    key = "aB3dE6gH9jK2mN5pQ8rS1tU4" * 2
+    far = "x " * 300
+    texts = [f"account_name=storage1 {key} https://store.example.org/blob", f"{key} {far} account_name=storage1 {far} https://store.example.org/a", f"AKIA{'B2' * 8} {'x ' * 110}https://db.example.org/{'p' * 60}", "account_name=one user_id=someone"]
+    got = [r["spans"] for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    end = len(texts[0])
+    assert got[0] == f"ident:0:21,weak:22:70,endpoint:71:{end}" and got[1] == "" and got[3] == ""
+    assert got[2] == f"access:0:20,endpoint:241:{len(texts[2])}"
+    rng = np.random.default_rng(3)
+    parts = ["account_name=storage1", key, "https://store.example.org/blob", "token=abcdefghijklmnop", "AKIA" + "B2" * 8, "0af" * 6]
+    for _ in range(200):
+        t = " ".join("y " * int(rng.integers(0, 120)) + parts[i] for i in rng.integers(0, 6, 6))
+        base = secret_scan.base_spans(t)
+        weak = [w for w in secret_scan._weak_spans(t) if all(e <= w[0] or w[1] <= s for s, e, _ in base)]
+        want = {w for w in weak if any(k in secret_scan.NEEDS[w[2]] and s <= w[1] + secret_scan.SCOPE and e >= w[0] - secret_scan.SCOPE for s, e, k in base + weak)}
+        assert set(secret_scan.linked_spans(t, base)) == want
+
+
 def test_language_id(spark, docs, empty):
     model = {"aa": b"lorem ipsum dolor sit amet " * 40, "bb": b"qwert zuiop asdfg hjkl yxcvb " * 40}
     d = spark.createDataFrame([(1, "Lorem IPSUM dolor sit!"), (2, "qwert zuiop asdfg"), (3, "12 !"), (4, None)], "doc_id long, text string")
