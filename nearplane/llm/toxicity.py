@@ -8,12 +8,16 @@ cover most toxic documents at few clean ones, and takes the strings with these s
 Landmarks are the stems and further strings; Nystrom features over them feed a linear SVM with squared
 hinge loss. A text scores by its worst strings, calibrated on training documents.
 
+A string of two or three letters has a kernel of lower order: of all its letters and the start symbol, so
+it is like an equal string only. Stems are added until no further one explains two toxic documents.
+
 Most words share too few letters in order with any stem to matter: a bit-parallel longest common
 subsequence, many stems to a machine word, leaves few words to the kernel.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +35,8 @@ LAMBDA = 0.6
 WIDTH = 24  # letters of a string; longer words are read in windows that overlap by half
 ROW = WIDTH + 1  # a string's row: START or INNER, its letters, zeros
 START, INNER = 2, 3  # the row is from a word's start, or a later window
-STEMS = 24
+LEAST = 2  # toxic documents that a stem must add; what a single document says alone is no evidence
+SHORTEST = 2  # letters of a string
 LANDMARKS = 48
 LAND_WIDTH = 14
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000  # bound of the labelled sample
@@ -64,10 +69,10 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.flatnonzero(new & single)
         run = np.cumsum(new)
         count = np.bincount(run[single], minlength=run[-1] + 1)[run[first]]
-        first, count = first[count >= P], count[count >= P]
+        first, count = first[count >= SHORTEST], count[count >= SHORTEST]
         a, z, doc = np.concatenate([a, a[first]]), np.concatenate([z, z[first + count - 1]]), np.concatenate([doc, doc[first]])
         size = z - a
-    ok = size >= P
+    ok = size >= SHORTEST
     a, z, doc, size = a[ok], z[ok], doc[ok], size[ok]
     start = np.full(len(a), START, np.uint8)
     if (size > WIDTH).any():
@@ -145,12 +150,13 @@ class Gate:
     masks: np.ndarray  # (packs, 256)
     fields: list[tuple[int, int, int]]  # pack, bits, letters needed
     all: np.ndarray
+    short: list[bytes]  # under P letters: whole strings
 
     @classmethod
     def of(cls, words: list[bytes]) -> Gate:
         masks: list[np.ndarray] = []
         fields, used = [], 64
-        for w in words:
+        for w in (w for w in words if len(w) > P):
             if used + len(w) + 1 > 64:
                 masks.append(np.zeros(256, np.uint64))
                 used = 0
@@ -159,7 +165,7 @@ class Gate:
             fields.append((len(masks) - 1, ((1 << len(w)) - 1) << used, max(P, int(np.ceil(SHARE * len(w))))))
             used += len(w) + 1
         full = [sum(b for p, b, _ in fields if p == k) for k in range(len(masks))]
-        return cls(np.array(masks), fields, np.array(full, np.uint64))
+        return cls(np.array(masks), fields, np.array(full, np.uint64), [w for w in words if len(w) <= P])
 
     def passes(self, x: np.ndarray) -> np.ndarray:
         ok = np.zeros(len(x), bool)
@@ -176,12 +182,26 @@ class Gate:
             for q, bits, need in self.fields:
                 if q == p:
                     ok[order] |= np.bitwise_count(~v & np.uint64(bits)) >= need
-        return ok
+        ok &= ~is_short(x)
+        return ok | same_short(x, as_rows(self.short, ROW)).any(1)
+
+
+def is_short(x: np.ndarray) -> np.ndarray:
+    return x[:, P] == 0
+
+
+def same_short(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether the short strings of t, with their start symbols, are those of x; (rows of x, rows of t)."""
+    out = is_short(x)[:, None] & is_short(t)[None, :]
+    for i in range(P):
+        out &= x[:, i, None] == t[None, :, i]
+    return out
 
 
 @dataclass
 class Model:
     stems: list[bytes]
+    toxic: list[bytes]  # further landmarks that are toxic
     landmarks: list[bytes]
     weights: np.ndarray  # of normalised kernel values
     bias: float
@@ -190,10 +210,11 @@ class Model:
     def __post_init__(self):
         self.rows = as_rows(self.landmarks, LAND_WIDTH)
         self.norm = np.sqrt(self_kernel(self.rows))
-        self.gate = Gate.of(self.stems)
+        self.gate = Gate.of(self.stems + self.toxic)
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        return (kernel(x, self.rows) / np.maximum(self.norm[:, None] * np.sqrt(self_kernel(x))[None, :], 1e-12)).T
+        out = (kernel(x, self.rows) / np.maximum(self.norm[:, None] * np.sqrt(self_kernel(x))[None, :], 1e-12)).T
+        return np.where(is_short(x)[:, None] | is_short(self.rows)[None, :], same_short(x, self.rows), out)
 
     def decide(self, x: np.ndarray) -> np.ndarray:
         """The SVM's value of each string; strings that the gate stops have the value of a zero kernel."""
@@ -250,32 +271,42 @@ def _svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
 def _stems(x: np.ndarray, string: np.ndarray, doc: np.ndarray, label: np.ndarray) -> list[bytes]:
     """Letter sequences near word starts that cover the toxic documents, each with few clean ones; greedily."""
     nt, nc = max(1, int(label.sum())), max(1, int((1 - label).sum()))
-    least = max(3, 0.004 * nt)
     found: dict[bytes, tuple[set[int], int]] = {}
+
+    def count(part: np.ndarray, whole: np.ndarray) -> None:
+        names, inv = np.unique(np.ascontiguousarray(part[whole]).view(f"V{part.shape[1]}").ravel(), return_inverse=True)
+        of = np.full(len(x), -1)
+        of[whole] = inv
+        ok = of[string] >= 0
+        pair = np.unique(of[string[ok]] * len(label) + doc[ok])
+        gram, where = pair // len(label), pair % len(label)
+        toxic = np.bincount(gram, label[where], len(names))
+        clean = np.bincount(gram, 1 - label[where], len(names))
+        for g in np.flatnonzero((toxic >= LEAST) & (toxic / nt > 3 * clean / nc)):
+            a, z = np.searchsorted(gram, [g, g + 1])
+            w = where[a:z]
+            found[names[g].tobytes().rstrip(b"\0")] = set(w[label[w] == 1].tolist()), int(clean[g])
+
     for lo in (0, 1, 2):
         for size in (5, 6, 7):
-            part = np.ascontiguousarray(x[:, lo : lo + size])
-            whole = np.flatnonzero((part[:, -1] != 0) & (part[:, 0] != INNER))
-            names, inv = np.unique(part[whole].view(f"V{size}").ravel(), return_inverse=True)
-            of = np.full(len(x), -1)
-            of[whole] = inv
-            ok = of[string] >= 0
-            pair = np.unique(of[string[ok]] * len(label) + doc[ok])
-            gram, where = pair // len(label), pair % len(label)
-            toxic = np.bincount(gram, label[where], len(names))
-            clean = np.bincount(gram, 1 - label[where], len(names))
-            for g in np.flatnonzero((toxic >= least) & (toxic / nt > 3 * clean / nc)):
-                a, z = np.searchsorted(gram, [g, g + 1])
-                w = where[a:z]
-                found[names[g].tobytes()] = set(w[label[w] == 1].tolist()), int(clean[g])
+            part = x[:, lo : lo + size]
+            count(part, np.flatnonzero((part[:, -1] != 0) & (part[:, 0] != INNER)))
+    count(x[:, : P + 1], np.flatnonzero(is_short(x)))
     left, out = set(np.flatnonzero(label).tolist()), []
-    while len(out) < STEMS and found:
-        gain = lambda s: len(found[s][0] & left) - 3 * found[s][1] * nt / nc  # noqa: E731, B023
-        best = max(sorted(found), key=lambda s: (gain(s), len(found[s][0]), len(s)))
-        if gain(best) < least:
-            break
+
+    def entry(s: bytes) -> tuple[float, int, int, bytes]:
+        return 3 * found[s][1] * nt / nc - len(found[s][0] & left), -len(found[s][0]), -len(s), s
+
+    heap = [entry(s) for s in found]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= LEAST:  # gains only fall, so an entry that is still true is the best
+        best = heap[0][-1]
+        if entry(best) != heap[0]:
+            heapq.heapreplace(heap, entry(best))
+            continue
+        heapq.heappop(heap)
         out.append(best)
-        left -= found.pop(best)[0]
+        left -= found[best][0]
     return out
 
 
@@ -283,7 +314,7 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     """From (label, rows of distinct strings) of training documents."""
     rng = np.random.default_rng(seed)
     label = np.array([int(y) for y, _ in bags], np.int64)
-    none = Model([], [], np.zeros(0), -1.0, np.array([0.0] * TOP + [-4.0]))
+    none = Model([], [], [], np.zeros(0), -1.0, np.array([0.0] * TOP + [-4.0]))
     if not label.any():
         return none
     every = np.ascontiguousarray(np.concatenate([x for _, x in bags]))
@@ -295,23 +326,22 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
         return none
     ct = np.bincount(string, label[doc], len(x))
     cc = np.bincount(string, 1 - label[doc], len(x))
-    gate = Gate.of(stems)
-    passed = gate.passes(x)
+    passed = Gate.of(stems).passes(x)
     text = [n.tobytes().rstrip(b"\0") for n in names[passed]]
     has = np.zeros(len(x), bool)
-    has[passed] = [any(s in t for s in stems) for t in text]
+    has[passed] = [any(s == t if len(s) <= P else s in t for s in stems) for t in text]
     toxic = np.flatnonzero(has & (ct > 0))
-    clean = np.flatnonzero(passed & ((cc > 0) | (ct > 0) & ~has))
     toxic = toxic[np.lexsort((toxic, -ct[toxic]))][:6000]
+    room = max(LANDMARKS // 4, (LANDMARKS - len(stems)) // 2)
+    mark = lambda group: [x[i].tobytes().rstrip(b"\0")[:LAND_WIDTH] for i in group[:room]]
+    toxic_marks = mark(toxic)
+    passed |= Gate.of(toxic_marks).passes(x)
+    clean = np.flatnonzero(passed & ((cc > 0) | (ct > 0) & ~has))
     clean = clean[np.lexsort((clean, -cc[clean]))][:12000]
     plain = np.flatnonzero(~passed & (cc > 0))
     plain = plain[rng.permutation(len(plain))[:500]]
-    marks = list(stems)
-    for group in (toxic, clean):
-        for i in group[: (LANDMARKS - len(stems)) // 2]:
-            marks.append(x[i].tobytes().rstrip(b"\0")[:LAND_WIDTH])
-    marks = list(dict.fromkeys(marks))
-    model = Model(stems, marks, np.zeros(len(marks)), -1.0, np.zeros(TOP + 1))
+    marks = list(dict.fromkeys([*stems, *toxic_marks, *mark(clean)]))
+    model = Model(stems, toxic_marks, marks, np.zeros(len(marks)), -1.0, np.zeros(TOP + 1))
     f = model.features(np.concatenate([x[toxic], x[clean], x[plain]])).astype(np.float64)
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean) + len(plain))])
     nt, nc = max(1, label.sum()), max(1, (1 - label).sum())

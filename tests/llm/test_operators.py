@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearplane.llm import components, decontamination, fingerprints, jaccard_join, language_id, license_scan, secret_scan, source_mixing, substring_dedup, token_output, toxicity
@@ -185,6 +186,23 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0 and toxicity.train(empty, labels).stems == []
 
 
+def test_toxicity_many_rare_and_short_insults():
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(r.choice(letters, n))
+    plain, insults = [word(int(n)) for n in r.integers(2, 9, 400)], [*(word(8) for _ in range(40)), "zqx"]
+    common, rare = insults[:36] + insults[40:], insults[36:40]
+    use = [common[i % len(common)] for i in range(1200)] + [w for w in rare for _ in range(3)] + [""] * 2400
+    texts = [" ".join([*r.choice(plain, 20), w]) for w in use]
+    bags = []
+    for t, w in zip(texts, use, strict=True):
+        bags.append((int(w != ""), toxicity.strings(pa.array([t]))[0]))
+    model = toxicity.fit(bags)
+    assert len(model.stems) > 24
+    score = model.score(pa.array([" ".join([*r.choice(plain, 20), w]) for w in [*insults, *[""] * 40]]))
+    assert (score[:41] >= 0.5).all() and (score[41:] < 0.5).all()
+
+
 def test_fingerprints(docs, empty):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
     texts = [t or "" for _, t in ROWS]
