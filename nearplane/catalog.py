@@ -104,6 +104,12 @@ def _remap(s, d):
     return evaluate.renumber(_truth(s, d), mapping).select("qid", F.col("rank").cast("long").alias("rank"), "id")
 
 
+def _pca_fit(s, d):
+    val, rot = pca.fit(base_of(s, d))
+    rot = rot * np.sign(rot[np.abs(rot).argmax(0), np.arange(len(val))])  # an axis has no sign of its own
+    return s.createDataFrame([(i + 1, float(x), rot[:, i].tolist()) for i, x in enumerate(val)], "component int, eigenvalue double, axis array<double>")
+
+
 def _eigen(s, d):
     val, _ = pca.fit(base_of(s, d))
     return s.createDataFrame([(len(val), float(round(val.sum(), 6)))], "dim int, total double")
@@ -163,6 +169,8 @@ def queries() -> dict[str, Query]:
         "sq_score": _sq_score,
         "dim_means": lambda s, d: pca.dim_means(base_of(s, d)).select("pos", _r("mean").alias("mean")),
         "covariance": lambda s, d: pca.covariance(base_of(s, d), 8).select("i", "j", _r("cov").alias("cov")),
+        "covariance_all": lambda s, d: pca.covariance(base_of(s, d)).select("i", "j", _r("cov").alias("cov")),
+        "pca_fit": _pca_fit,
         "rank_selection": lambda s, d: pca.rank_selection(_spectrum(s), 0.71),
         "bound_constants": lambda s, d: theory.bound_constants(_spectrum(s), 2),
         "occupancy_probability": lambda s, d: s.createDataFrame([(y, round(theory.occupancy_probability(3, 2, y), 9)) for y in (1, 2)], "least int, p double"),

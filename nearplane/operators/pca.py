@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,20 @@ def rank_for(eigenvalues: np.ndarray, ratio: float) -> int:
     return int(min(len(v), np.searchsorted(np.cumsum(v) / v.sum(), ratio - 1e-12) + 1))
 
 
+def scan_spectrum(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(component from 1, eigenvalue) of a CSV column with a header: nulls dropped, descending; if any is not
+    above 0, all are raised to 1e-12 at least."""
+    rows = spark.read.csv(path, header=True)
+    if column not in rows.columns:
+        raise ValueError(f"no column {column!r}")
+    val = rows.select(F.col(f"`{column}`").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    least = val.agg(F.min("x")).first()[0]
+    if least is None:
+        raise ValueError(f"no eigenvalues in {column!r}")
+    order = Window.orderBy(F.desc("eigenvalue"))  # a spectrum is as long as the dimension
+    return val.select((F.greatest("x", F.lit(1e-12)) if least <= 0 else F.col("x")).alias("eigenvalue")).select(F.row_number().over(order).alias("component"), "eigenvalue")
+
+
 def rank_selection(spectrum: DataFrame, ratio: float) -> DataFrame:
     """(component from 1, eigenvalue) -> one row d."""
     w = Window.orderBy(F.desc("eigenvalue"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearplane import catalog
 from nearplane.functions import quantization as Q
 from nearplane.functions import vector as V
 from nearplane.operators import evaluate, pca, search, topk
@@ -85,3 +86,22 @@ def test_index_and_vecs_round_trip(spark, data, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(vecs.to_vecs(X.astype("<f4")))
     rows = vecs.load(spark, str(tmp_path / "a.fvecs"), 12).orderBy("id").collect()
     assert len(rows) == 90 and np.allclose([r["v"] for r in rows], X, atol=1e-6)
+
+
+def test_covariance_and_fit_over_all_dimensions(spark, tmp_path):
+    x = RNG.normal(size=(150, 64)) * np.linspace(3, 1, 64)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    q, cov = catalog.queries(), np.cov(x[catalog.N_QUERIES :].T)
+    got = {(r["i"], r["j"]): r["cov"] for r in q["covariance_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 64 * 65 // 2 and all(abs(c - cov[k]) < 2e-6 for k, c in got.items())
+    rows = q["pca_fit"](spark, str(tmp_path)).orderBy("component").collect()
+    val, axes = np.array([r["eigenvalue"] for r in rows]), np.array([r["axis"] for r in rows])
+    assert np.allclose(axes @ axes.T, np.eye(64), atol=1e-9) and np.allclose(axes.T * val @ axes, cov, atol=1e-8)
+
+
+def test_scan_spectrum(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("n,eig\n1,0.5\n2,\n3,2\n4,-1\n")
+    got = pca.scan_spectrum(spark, str(tmp_path / "e.csv"), "eig").collect()
+    assert [tuple(r) for r in got] == [(1, 2.0), (2, 0.5), (3, 1e-12)]
+    with pytest.raises(ValueError):
+        pca.scan_spectrum(spark, str(tmp_path / "e.csv"), "other")
