@@ -1,8 +1,10 @@
-"""Recall, query batches and permutations."""
+"""Recall, query batches, trimmed bases and permutations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,5 +41,39 @@ def permutation(base: DataFrame, seed: int) -> DataFrame:
     return inner.join(F.broadcast(first), "p").select("id", (F.col("before") + F.col("r") - 1).cast("long").alias("new_id"))  # a row a partition
 
 
+def trim(base: DataFrame, n: int, multiple: int = 8) -> DataFrame:
+    """The rows of a base of n dense ids up to the last whole multiple."""
+    return base.where(F.col("id") < n - n % multiple)
+
+
 def renumber(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return df.join(mapping, "id").withColumn("id", F.col("new_id")).drop("new_id")
+
+
+@dataclass
+class Shuffled:
+    """A base in another order, the truth in its ids, and the map (id, new_id) between them."""
+
+    base: DataFrame
+    truth: DataFrame
+    mapping: DataFrame
+
+
+def shuffled(base: DataFrame, truth: DataFrame, seed: int) -> Shuffled:
+    """A seeded permutation of base, with truth rewritten to it."""
+    mapping = permutation(base, seed)
+    return Shuffled(renumber(base, mapping), renumber(truth, mapping), mapping)
+
+
+def unshuffled(s: Shuffled) -> DataFrame:
+    """The truth of a shuffled base in the ids it had before."""
+    return renumber(s.truth, s.mapping.select(F.col("new_id").alias("id"), F.col("id").alias("new_id")))
+
+
+def save_shuffled(s: Shuffled, path: str) -> None:
+    for name in ("base", "truth", "mapping"):
+        getattr(s, name).write.parquet(f"{path}/{name}")
+
+
+def load_shuffled(spark: SparkSession, path: str) -> Shuffled:
+    return Shuffled(*(spark.read.parquet(f"{path}/{name}") for name in ("base", "truth", "mapping")))

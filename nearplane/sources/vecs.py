@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_vecs(spark: SparkSession, path: str, dim: int, kind: str = "f") -> DataFrame:
-    """(id, v): id is the record's place in the file. Fixed records make the file splittable."""
+    """(id, v): id is the record's place in the file. Fixed records make the file splittable.
+
+    A record of another dimension, or a file that isn't whole records, raises.
+    """
     if kind not in "fi":
         raise ValueError("kind is f or i")
     size = 4 * (dim + 1)
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size)}
+    # the format's key is the record's number, so no pass over the file counts records
+    found = spark.sparkContext.newAPIHadoopFile(path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
 
-    def row(x: tuple[bytes, int]) -> tuple[int, list]:
-        if struct.unpack_from("<i", x[0])[0] != dim:
-            raise ValueError("a record of another dimension")
-        return x[1], np.frombuffer(x[0], f"<{kind}4", dim, 4).tolist()
+    def rows(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list]]:
+        while held := list(islice(records, 4096)):
+            x = np.frombuffer(b"".join(r for _, r in held), "<i4").reshape(len(held), dim + 1)
+            if (x[:, 0] != dim).any():
+                raise ValueError("a record of another dimension")
+            yield from zip((i for i, _ in held), x[:, 1:].view(f"<{kind}4").tolist(), strict=True)
 
-    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(row)
-    return spark.createDataFrame(rows, f"id long, v array<{'double' if kind == 'f' else 'int'}>")
+    return spark.createDataFrame(found.mapPartitions(rows), f"id long, v array<{'double' if kind == 'f' else 'int'}>")
 
 
 def to_vecs(vectors: np.ndarray) -> bytes:
@@ -28,6 +37,15 @@ def to_vecs(vectors: np.ndarray) -> bytes:
     return np.hstack([head, np.ascontiguousarray(vectors).view(np.uint8).reshape(len(vectors), -1)]).tobytes()
 
 
+def truth_of(neighbours: DataFrame, distances: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, id), and distance if given, from a matrix of neighbours (id, v) with a row a query."""
+    near = neighbours.select(F.col("id").alias("qid"), F.posexplode("v").alias("pos", "near")).select("qid", (F.col("pos") + 1).alias("rank"), F.col("near").cast("long").alias("id"))
+    if distances is None:
+        return near
+    far = distances.select(F.col("id").alias("qid"), F.posexplode("v").alias("pos", "distance")).select("qid", (F.col("pos") + 1).alias("rank"), F.col("distance").cast("double").alias("distance"))
+    return near.join(far, ["qid", "rank"])
+
+
 def load(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
     """By suffix: .fvecs, .ivecs or .hdf5 files; all else is Parquet."""
     if path.endswith((".fvecs", ".ivecs")):
