@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 17  # items whose hashes are summed at once; few enough for a CPU's cache
 _rng = np.random.Generator(np.random.PCG64(20240229))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SEPARATOR = np.zeros(256, bool)

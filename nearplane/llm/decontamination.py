@@ -19,6 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearplane.llm._common import memory_returned
+
 RATE = 0.05
 MIN_CHARS = 16  # shorter items only match whole texts
 BLOCK_CHARS = 8_000_000
@@ -173,7 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     parts = []
     for block in _item_blocks(items):
         sent = spark.sparkContext.broadcast((uuid4().hex, block))
-        parts.append(docs.mapInArrow(lambda it, sent=sent: _found(it, sent, rate), schema))
+        parts.append(docs.mapInArrow(memory_returned(lambda it, sent=sent: _found(it, sent, rate)), schema))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -188,5 +190,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Data
     spark = docs.sparkSession
     for block in _item_blocks(items):
         sent = spark.sparkContext.broadcast((uuid4().hex, block))
-        docs = docs.mapInArrow(lambda it, sent=sent, at=docs.columns.index("text"): _clean(it, at, sent, rate), docs.schema)
+        docs = docs.mapInArrow(memory_returned(lambda it, sent=sent, at=docs.columns.index("text"): _clean(it, at, sent, rate)), docs.schema)
     return docs

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import LOWEST_ID, TEXT_SLICE, order_id, shuffle_parts, stored
+from nearplane.llm._common import LOWEST_ID, TEXT_SLICE, memory_returned, order_id, shuffle_parts, stored
 from nearplane.llm.components import connected_components
 
 MAX_FREQUENT = 1_000_000
@@ -110,7 +110,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         n = off[rows + 1] - off[rows]
         held.append(tokens[_spans(off[rows], n)])
         size += len(held[-1])
-        if size > 5_000_000:
+        if size > 2_000_000:
             yield counted()
             held, size = [], 0
     if held:
@@ -119,7 +119,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def token_classes(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and their classes."""
-    local = docs.select("text").mapInArrow(lambda it: _frequent(it, k), "token long, c long")
+    local = docs.select("text").mapInArrow(memory_returned(lambda it: _frequent(it, k)), "token long, c long")
     total = local.groupBy("token").agg(F.sum("c").alias("c")).where("c >= 8").orderBy(F.desc("c"), "token").limit(MAX_FREQUENT)
     t = total.toArrow()
     token, c = t.column(0).to_numpy().astype(np.int64).view(np.uint64), t.column(1).to_numpy().astype(np.int64)
@@ -163,7 +163,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
             own = np.sort(np.partition(own, p - 1)[:p] if p < len(own) else own)
             held.append((own, np.full(p, sig[i]), np.full(p, z - a, np.int32), np.arange(p, dtype=np.int32)))
             size += p
-        if size > 1_500_000:
+        if size > 400_000:
             yield flush()
             held, size = [], 0
     if held:
@@ -356,22 +356,22 @@ def _links(docs: DataFrame, copies: DataFrame, k: int, num: int, den: int) -> Da
     text = docs.select("text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
     buckets = 4 * shuffle_parts(spark)
-    posted = text.mapInArrow(lambda it: _postings(it, k, num, den, classes, buckets), "bucket int, token binary, sig binary, n binary, place binary")
-    cand = stored(posted.repartition("bucket").mapInArrow(lambda it: _candidates(it, num, den), _CAND).distinct(), "candidates")
+    posted = text.mapInArrow(memory_returned(lambda it: _postings(it, k, num, den, classes, buckets)), "bucket int, token binary, sig binary, n binary, place binary")
+    cand = stored(posted.repartition("bucket").mapInArrow(memory_returned(lambda it: _candidates(it, num, den)), _CAND).distinct(), "candidates")
     involved = cand.select("a").union(cand.select("b")).distinct()
     bits = int(min(27, max(16, np.ceil(np.log2(16 * involved.count() + 1)))))
     have = np.zeros((1 << bits) // 8, np.uint8)
-    for r in involved.mapInArrow(lambda it: _bloom_part(it, bits), "bits binary").toLocalIterator():
+    for r in involved.mapInArrow(memory_returned(lambda it: _bloom_part(it, bits)), "bits binary").toLocalIterator():
         have |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     bloom = spark.sparkContext.broadcast(np.unpackbits(have).astype(bool))
     # equal sets of several partitions stand here several times; the least src of each counts
-    sets = stored(text.mapInArrow(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits), "sig long, src long, n int, p2 binary, p3 binary, odd binary, tokens binary"), "sets")
+    sets = stored(text.mapInArrow(memory_returned(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits)), "sig long, src long, n int, p2 binary, p3 binary, odd binary, tokens binary"), "sets")
     one = sets.select("sig", "src").groupBy("sig").agg(F.min("src").alias("src"))
     small = stored(sets.select("sig", "src", "n", "p2", "p3", "odd").join(one, ["sig", "src"]), "prefixes")
     odd = lambda n: small.select(F.col("sig").alias(n), F.col("n").alias(f"{n}n"), F.col("odd").alias(f"{n}o"))
-    left = cand.where("kind = 0").select("a", "b").join(odd("a"), "a").join(odd("b"), "b").mapInArrow(lambda it: _parities_pass(it, num, den), "a long, b long")
+    left = cand.where("kind = 0").select("a", "b").join(odd("a"), "a").join(odd("b"), "b").mapInArrow(memory_returned(lambda it: _parities_pass(it, num, den)), "a long, b long")
     side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
-    left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prefixes_meet, "a long, b long")
+    left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(memory_returned(_prefixes_meet), "a long, b long")
     blocks = connected_components(left.union(cand.where("kind = 1").select("a", "b")))
     return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n").join(copies, "sig"), sets.select("sig", "src", "tokens"), num, den)
 
@@ -414,7 +414,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """jaccard_join() with a hash of each row's text, text_key, which tells rows of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(lambda it: _named(it, k), "doc_id long, text_key long, n_shingles long, sig long"), "named")
+    named = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(memory_returned(lambda it: _named(it, k)), "doc_id long, text_key long, n_shingles long, sig long"), "named")
     per = named.where("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order_id()).alias("least"))
     links = stored(_links(docs, per.select("sig", "copies"), k, num, den), "links")
     comp = connected_components(links.select("a", "b"))

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearplane.llm._common import memory_returned
+
 SAMPLE_DOCS = 96
 DICT_BYTES = 96 << 10
 MAX_TRAIN_CHARS = 20_000  # longer documents give no training text
@@ -105,4 +107,4 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], held: Col
     """
     model = docs.sparkSession.sparkContext.broadcast((uuid4().hex, dictionaries))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(False) if held is None else held).alias("held_out"))
-    return rows.mapInArrow(lambda it: _classify(it, model), "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
+    return rows.mapInArrow(memory_returned(lambda it: _classify(it, model)), "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean")

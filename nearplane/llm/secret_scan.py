@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearplane.llm._common import memory_returned
+
 SCOPE = 240
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -103,4 +105,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     spans. Rows that repeat an id each give a row; other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return docs.mapInArrow(memory_returned(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")

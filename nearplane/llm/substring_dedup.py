@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import TEXT_SLICE, order_id
+from nearplane.llm._common import TEXT_SLICE, memory_returned, order_id
 
 DEPTH = 2
 MAX_BITS = 29
@@ -100,9 +100,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged_sketch(docs: DataFrame, width: int, gram: int, bits: int) -> list[np.ndarray]:
     """For each sketch row the bitmap of cells that were counted twice or more."""
-    parts = docs.select("text").mapInArrow(lambda it: _sketch(it, width, gram, bits), "block long, once binary, more binary")
+    parts = docs.select("text").mapInArrow(memory_returned(lambda it: _sketch(it, width, gram, bits)), "block long, once binary, more binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in parts.repartition("block").mapInArrow(_merge, "block long, twice binary").toLocalIterator():
+    for r in parts.repartition("block").mapInArrow(memory_returned(_merge), "block long, twice binary").toLocalIterator():
         at = (r["block"] & ((1 << 40) - 1)) * (CELLS // 8)
         out[r["block"] >> 40][at : at + CELLS // 8] = np.frombuffer(r["twice"], np.uint8)
     return out
@@ -205,8 +205,8 @@ def repeated_windows(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFra
     bits = int(min(MAX_BITS, max(20, np.ceil(np.log2(4 * anchors_about + 1)))))
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, width, gram, bits))
     keyed = docs.select(order_id().alias("oid"), F.xxhash64("text").alias("th"), "text")
-    runs = keyed.mapInArrow(lambda it: _candidates(it, width, gram, bits, sketch), _RUN)
-    return runs.repartition("key").mapInArrow(_marks, "oid long, th long, start int, n int")
+    runs = keyed.mapInArrow(memory_returned(lambda it: _candidates(it, width, gram, bits, sketch)), _RUN)
+    return runs.repartition("key").mapInArrow(memory_returned(_marks), "oid long, th long, start int, n int")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], width: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -247,4 +247,4 @@ def dedup_substrings(docs: DataFrame, width: int = 20, gram: int = 8, keep_text:
     keyed = docs.withColumns({"oid": order_id(), "th": F.xxhash64("text")})
     both = keyed.join(marks.hint("shuffle_hash"), ["oid", "th"], "left").select("doc_id", "text", "marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return both.mapInArrow(lambda it: _kept(it, width, keep_text), schema)
+    return both.mapInArrow(memory_returned(lambda it: _kept(it, width, keep_text)), schema)
