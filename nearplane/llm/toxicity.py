@@ -11,14 +11,15 @@ hinge loss. A text scores by its worst strings, calibrated on training documents
 A string of two or three letters has a kernel of lower order: of all its letters and the start symbol, so
 it is like an equal string only. Stems are added until no further one explains two toxic documents.
 
-Most words share too few letters in order with any stem to matter: a bit-parallel longest common
-subsequence, many stems to a machine word, leaves few words to the kernel.
+Every distinct string of a text is scored by its features; a bounded memo spares strings that a task has
+scored before. The bounds on what training looks at are the constants `TRAIN_*` and `FIT_*`.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import TEXT_SLICE
+from nearplane.llm._common import TEXT_SLICE, memory_returned
 
 P = 4
 LAMBDA = 0.6
@@ -38,10 +39,12 @@ START, INNER = 2, 3  # the row is from a word's start, or a later window
 LEAST = 2  # toxic documents that a stem must add; what a single document says alone is no evidence
 SHORTEST = 2  # letters of a string
 LANDMARKS = 48
-LAND_WIDTH = 14
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000  # bound of the labelled sample
-SHARE = 0.8  # of a stem that a word must have in order
+LAND_WIDTH = 14  # letters of a landmark, with its start symbol
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000  # bound of the labelled sample, in documents
+FIT_TOXIC, FIT_NEAR, FIT_PLAIN = 6000, 12000, 6000  # bound of the SVM's examples: strings with a stem, near one, and others
+SHARE = 0.8  # of a stem that a string has in order, to be an example near it
 TOP = 3  # a text scores by its worst strings
+MEMO = 400_000  # strings whose values a task remembers
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -51,8 +54,8 @@ for _digit, _as in zip(b"013457@$", b"oieastas", strict=True):
     _LETTER[_digit] = _as
 
 
-def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: distinct strings as rows of WIDTH bytes, and the (string, text) pairs."""
+def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: distinct strings by ascending hash, these as rows of ROW bytes, and the (string, text) pairs."""
     buf, off = W.flat(col)
     s, e, wo = W.words(buf, off)
     doc = W.doc_of(wo)
@@ -84,14 +87,14 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z, doc = np.minimum(z[row], a + WIDTH), doc[row]
         size = z - a
     if not len(a):
-        return np.zeros((0, ROW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, inv = np.unique(W.word_hashes(small, a, z) * W.U(5) ^ start, return_index=True, return_inverse=True)
+        return np.zeros(0, np.uint64), np.zeros((0, ROW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, first, inv = np.unique(W.word_hashes(small, a, z) * W.U(5) ^ start, return_index=True, return_inverse=True)
     at = a[first][:, None] + np.arange(WIDTH)[None, :]
     out = np.zeros((len(first), ROW), np.uint8)
     out[:, 0] = start[first]
     out[:, 1:] = small[np.minimum(at, len(small) - 1)]
     out[:, 1:][np.arange(WIDTH)[None, :] >= size[first][:, None]] = 0
-    return out, inv, doc
+    return names, out, inv, doc
 
 
 def as_rows(words: list[bytes], width: int) -> np.ndarray:
@@ -101,19 +104,27 @@ def as_rows(words: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _by_length(x: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Places of the rows of x in groups of about one length, as a group costs what its longest row does."""
+    order = np.argsort((x != 0).sum(1), kind="stable")
+    return (order[lo : lo + step] for lo in range(0, len(x), step))
+
+
 def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of all rows of x with all rows of t; (rows of t, rows of x)."""
     out = np.zeros((len(t), len(x)), np.float32)
-    for lo in range(0, len(x), 2048):
-        out[:, lo : lo + 2048] = _kernel(x[None, lo : lo + 2048, :], np.where(t == 0, 1, t)[:, None, :])
+    for of in _by_length(t, 16):
+        other = np.where(t[of] == 0, 1, t[of])[:, None, :]
+        for at in _by_length(x, 2048):
+            out[np.ix_(of, at)] = _kernel(x[None, at, :], other)
     return out
 
 
 def self_kernel(x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), np.float32)
-    for lo in range(0, len(x), 16384):
-        part = x[None, lo : lo + 16384, :]
-        out[lo : lo + 16384] = _kernel(part, np.where(part == 0, 1, part))[0]
+    for at in _by_length(x, 8192):
+        part = x[None, at, :]
+        out[at] = _kernel(part, np.where(part == 0, 1, part))[0]
     return out
 
 
@@ -210,24 +221,20 @@ class Model:
     def __post_init__(self):
         self.rows = as_rows(self.landmarks, LAND_WIDTH)
         self.norm = np.sqrt(self_kernel(self.rows))
-        self.gate = Gate.of(self.stems + self.toxic)
 
     def features(self, x: np.ndarray) -> np.ndarray:
         out = (kernel(x, self.rows) / np.maximum(self.norm[:, None] * np.sqrt(self_kernel(x))[None, :], 1e-12)).T
         return np.where(is_short(x)[:, None] | is_short(self.rows)[None, :], same_short(x, self.rows), out)
 
     def decide(self, x: np.ndarray) -> np.ndarray:
-        """The SVM's value of each string; strings that the gate stops have the value of a zero kernel."""
-        out = np.full(len(x), self.bias, np.float32)
-        if len(x) and len(self.landmarks):
-            at = np.flatnonzero(self.gate.passes(x))
-            if len(at):
-                out[at] = self.features(x[at]) @ self.weights + self.bias
-        return out
-
-    def score(self, col: pa.Array) -> np.ndarray:
-        x, inv, doc = strings(col)
-        value = self.decide(x)
+        """The SVM's value of each string."""
+        if not len(x) or not len(self.landmarks):
+            return np.full(len(x), self.bias, np.float32)
+        return (self.features(x) @ self.weights + self.bias).astype(np.float32)
+
+    def score(self, col: pa.Array, memo: Memo | None = None) -> np.ndarray:
+        names, x, inv, doc = strings(col)
+        value = self.decide(x) if memo is None else memo.values(self, names, x)
         some = np.flatnonzero(value[inv] > self.bias)
         pair = np.unique(doc[some] * max(1, len(x)) + inv[some])
         return self.calibrated(highest(pair // max(1, len(x)), value[pair % max(1, len(x))], len(col), self.bias))
@@ -236,6 +243,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top @ self.calibration[:-1] + self.calibration[-1], -40, 40)))
 
 
+class Memo:
+    """Values of strings by hash, at most MEMO of them."""
+
+    def __init__(self):
+        self.names, self.known = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    def values(self, model: Model, names: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if len(self.names) + len(names) > MEMO:
+            self.__init__()
+        place = np.searchsorted(self.names, names)
+        new = np.ones(len(names), bool)
+        if len(self.names):
+            new = self.names[np.minimum(place, len(self.names) - 1)] != names
+        out = np.empty(len(names), np.float32)
+        out[~new], out[new] = self.known[place[~new]], model.decide(x[new])
+        both = np.concatenate([self.names, names[new]])
+        order = np.argsort(both, kind="stable")
+        self.names, self.known = both[order], np.concatenate([self.known, out[new]])[order]
+        return out
+
+
 def highest(doc: np.ndarray, value: np.ndarray, n: int, floor: float) -> np.ndarray:
     """The TOP highest values of each of n texts, filled with floor."""
     out = np.full((n, TOP), floor, np.float64)
@@ -249,7 +277,7 @@ def highest(doc: np.ndarray, value: np.ndarray, n: int, floor: float) -> np.ndar
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in W.slices(batches, TEXT_SLICE, "text"):
-        x, inv, doc = strings(b.column(1))
+        _, x, inv, doc = strings(b.column(1))
         pair = np.unique(doc * max(1, len(x)) + inv)
         cut = np.searchsorted(pair, np.arange(b.num_rows + 1) * max(1, len(x)))
         yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), W.binary_column(x[pair % max(1, len(x))].reshape(-1), cut * ROW)], ["doc_id", "toxic", "strings"])
@@ -310,6 +338,24 @@ def _stems(x: np.ndarray, string: np.ndarray, doc: np.ndarray, label: np.ndarray
     return out
 
 
+def distinct(every: np.ndarray, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of strings in byte order, and the place of each row among them; by 64-bit hashes."""
+    h = np.empty(len(every), np.uint64)
+    for lo in range(0, len(every), step):
+        part = np.zeros((len(every[lo : lo + step]), 32), np.uint8)
+        part[:, :ROW] = every[lo : lo + step]
+        own = np.zeros(len(part), np.uint64)
+        for word in part.view(np.uint64).T:
+            own = W.mix(own * W.U(5) ^ word)
+        h[lo : lo + step] = own
+    _, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    x = every[first]
+    order = np.argsort(np.ascontiguousarray(x).view(f"S{ROW}").ravel(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return x[order], place[inv]
+
+
 def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     """From (label, rows of distinct strings) of training documents."""
     rng = np.random.default_rng(seed)
@@ -319,27 +365,27 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
         return none
     every = np.ascontiguousarray(np.concatenate([x for _, x in bags]))
     doc = np.repeat(np.arange(len(bags)), [len(x) for _, x in bags])
-    names, string = np.unique(every.view(f"V{ROW}").ravel(), return_inverse=True)
-    x = np.frombuffer(names.tobytes(), np.uint8).reshape(-1, ROW)
+    x, string = distinct(every)
+    del every
     stems = _stems(x, string, doc, label)
     if not stems:
         return none
     ct = np.bincount(string, label[doc], len(x))
     cc = np.bincount(string, 1 - label[doc], len(x))
     passed = Gate.of(stems).passes(x)
-    text = [n.tobytes().rstrip(b"\0") for n in names[passed]]
+    text = [r.tobytes().rstrip(b"\0") for r in x[passed]]
     has = np.zeros(len(x), bool)
     has[passed] = [any(s == t if len(s) <= P else s in t for s in stems) for t in text]
     toxic = np.flatnonzero(has & (ct > 0))
-    toxic = toxic[np.lexsort((toxic, -ct[toxic]))][:6000]
+    toxic = toxic[np.lexsort((toxic, -ct[toxic]))][:FIT_TOXIC]
     room = max(LANDMARKS // 4, (LANDMARKS - len(stems)) // 2)
     mark = lambda group: [x[i].tobytes().rstrip(b"\0")[:LAND_WIDTH] for i in group[:room]]
     toxic_marks = mark(toxic)
     passed |= Gate.of(toxic_marks).passes(x)
     clean = np.flatnonzero(passed & ((cc > 0) | (ct > 0) & ~has))
-    clean = clean[np.lexsort((clean, -cc[clean]))][:12000]
+    clean = clean[np.lexsort((clean, -cc[clean]))][:FIT_NEAR]
     plain = np.flatnonzero(~passed & (cc > 0))
-    plain = plain[rng.permutation(len(plain))[:500]]
+    plain = plain[rng.permutation(len(plain))[:FIT_PLAIN]]
     marks = list(dict.fromkeys([*stems, *toxic_marks, *mark(clean)]))
     model = Model(stems, toxic_marks, marks, np.zeros(len(marks)), -1.0, np.zeros(TOP + 1))
     f = model.features(np.concatenate([x[toxic], x[clean], x[plain]])).astype(np.float64)
@@ -373,8 +419,14 @@ def _logistic(top: np.ndarray, label: np.ndarray, steps: int = 60) -> np.ndarray
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    rows = sorted((d, y, s) for b in batches for d, y, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    model = fit([(y, np.frombuffer(s, np.uint8).reshape(-1, ROW)) for _, y, s in rows], seed)
+    rows = []
+    for b in batches:
+        ids, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
+        data, size = W.joined_binary(b.column(2), np.uint8)
+        for d, y, s in zip(ids, labels, np.split(data, np.cumsum(size)[:-1]), strict=True):
+            rows.append((d, y, zlib.crc32(s), s.reshape(-1, ROW)))
+    rows.sort(key=lambda r: r[:3])
+    model = fit([(y, s) for _, y, _, s in rows], seed)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
@@ -385,16 +437,16 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     part = lambda y, n: lab.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(n)
     some = F.broadcast(part(1, TRAIN_TOXIC).union(part(0, TRAIN_CLEAN)).select("doc_id", "toxic"))  # bounded above
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = text.join(some, "doc_id").select("toxic", "text", "doc_id").mapInArrow(_bags, "doc_id long, toxic int, strings binary")
+    rows = text.join(some, "doc_id").select("toxic", "text", "doc_id").mapInArrow(memory_returned(_bags), "doc_id long, toxic int, strings binary")
     # the sample is bounded, so one task can hold it; the driver only gets the model
-    got = rows.repartition(1).mapInArrow(lambda it: _fit_task(it, seed), "model binary").first()
+    got = rows.repartition(1).mapInArrow(memory_returned(lambda it: _fit_task(it, seed)), "model binary").first()
     return pickle.loads(got["model"]) if got else fit([], seed)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m = model.value
+    m, memo = model.value, Memo()
     for b in W.slices(batches, TEXT_SLICE):
-        score = m.score(b.column(1))
+        score = m.score(b.column(1), memo)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
 
@@ -406,16 +458,20 @@ def score_toxicity(docs: DataFrame, model: Model, held: Column | None = None) ->
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(False) if held is None else held).alias("held_out"))
-    return rows.mapInArrow(lambda it: _scores(it, sent), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(memory_returned(lambda it: _scores(it, sent)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _passing(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
-    m = model.value
+    m, memo = model.value, Memo()
     for b in W.slices(batches, TEXT_SLICE):
-        yield b.filter(pa.array(m.score(b.column(text)) < 0.5))
+        yield b.filter(pa.array(m.score(b.column(text), memo) < 0.5))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that the model does not predict toxic."""
+    """The rows of docs, with all their columns, that the model does not predict toxic.
+
+    Whole texts are read. Rows with a null, empty or letterless text stay, unless the model scores an empty
+    text 0.5 or more; repeated rows are decided alike; an empty table stays empty.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _passing(it, sent, at), docs.schema)
+    return docs.mapInArrow(memory_returned(lambda it: _passing(it, sent, at)), docs.schema)

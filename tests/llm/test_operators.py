@@ -196,7 +196,7 @@ def test_toxicity_many_rare_and_short_insults():
     texts = [" ".join([*r.choice(plain, 20), w]) for w in use]
     bags = []
     for t, w in zip(texts, use, strict=True):
-        bags.append((int(w != ""), toxicity.strings(pa.array([t]))[0]))
+        bags.append((int(w != ""), toxicity.strings(pa.array([t]))[1]))
     model = toxicity.fit(bags)
     assert len(model.stems) > 24
     score = model.score(pa.array([" ".join([*r.choice(plain, 20), w]) for w in [*insults, *[""] * 40]]))
