@@ -127,23 +127,33 @@ select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_remov
 from doc left join kept using (doc_id)"""
 
 
-def _sql_print(text: str) -> str:
-    line = f"array_to_string(list_transform(string_split({text}, chr(10)), lambda p: sha256(p)), ' ') || ' '"
-    parts = f"list_filter(string_split(regexp_replace({line}, '([0-3]) ', '\\1 |', 'g'), '|'), lambda s: s <> '')"
-    tree = f"sha256(array_to_string(list_transform({parts}, lambda s: sha256(s)), ' '))"
-    pieces = rf"regexp_extract_all({text}, '[^.!?\n]{{1,{fingerprints.PIECE}}}[.!?\n]*|[.!?\n]+')"
-    return f"{tree} || ':' || coalesce(array_to_string(list_transform({pieces}, lambda p: substr(md5(p), 1, {fingerprints.LEAF})), ''), '')"
+def _sql_tree(text: str) -> str:
+    """The sections of a text's tree."""
+    pieces = rf"regexp_extract_all(p, '[^.!?]{{1,{fingerprints.PIECE}}}[.!?]*|[.!?]+')"
+    line = f"list_transform(string_split({text}, chr(10)), lambda p: coalesce(array_to_string(list_transform({pieces}, lambda x: substr(md5(x), 1, {fingerprints.LEAF})), ''), '') || sha256(p))"
+    return f"list_filter(string_split(regexp_replace(array_to_string({line}, ' ') || ' ', '([0-3]) ', '\\1 |', 'g'), '|'), lambda s: s <> '')"
 
 
+def _sql_near(a: str, b: str) -> str:
+    """Dice of all distinct leaves, without going down the tree."""
+    return f"case when {a}s = {b}s then 1.0 when len({a}l) + len({b}l) = 0 then 0.0 else 2.0::double * len(list_intersect({a}l, {b}l)) / (len({a}l) + len({b}l)) end::double"
+
+
+_SQL_PARAGRAPHS = "list_filter(flatten(list_transform({}, lambda s: string_split(s, ' '))), lambda p: p <> '')"
+_SQL_LEAVES = "list_distinct(flatten(list_transform({}, lambda p: regexp_extract_all(substr(p, 1, len(p) - 64), '[0-9a-f]{{8}}'))))"
+_SQL_LOST = "coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter({0}, lambda x: not list_contains({1}, x)), lambda x: {2}))), ','), '')"
+_SQL_ROOT = "sha256(array_to_string(list_transform({0}, lambda s: sha256(s)), ' ')) || ':' || array_to_string({0}, '|')"
+
 _OP4 = f"""
 with doc as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n from documents),
     pair as (select doc_id, t, n, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) nx from doc),
     edit as (select *, substr(t, 1, n - n // 4) || substr(nx, 1, n // 4) e from pair),
-    print as (select doc_id, n, sha256(e) edited_sha256, {_sql_print("t")} fp, {_sql_print("e")} ep, {_sql_print("nx")} np from edit),
-    leaf as (select *, list_distinct(regexp_extract_all(substr(fp, 66), '[0-9a-f]{{8}}')) fl, list_distinct(regexp_extract_all(substr(ep, 66), '[0-9a-f]{{8}}')) el, list_distinct(regexp_extract_all(substr(np, 66), '[0-9a-f]{{8}}')) nl from print)
-select doc_id, n::bigint n_chars, edited_sha256, fp fingerprint, ep edited_fingerprint,
-    case when fp = ep then 1.0 when len(fl) + len(el) = 0 then 0.0 else 2.0::double * len(list_intersect(fl, el)) / (len(fl) + len(el)) end::double near_edited,
-    case when fp = np then 1.0 when len(fl) + len(nl) = 0 then 0.0 else 2.0::double * len(list_intersect(fl, nl)) / (len(fl) + len(nl)) end::double near_next
+    tree as (select doc_id, n, sha256(e) edited_sha256, {_sql_tree("t")} ts, {_sql_tree("e")} es, {_sql_tree("nx")} ns from edit),
+    para as (select *, {_SQL_PARAGRAPHS.format("ts")} tp, {_SQL_PARAGRAPHS.format("es")} ep, {_SQL_PARAGRAPHS.format("ns")} np from tree),
+    leaf as (select *, {_SQL_LEAVES.format("tp")} tl, {_SQL_LEAVES.format("ep")} el, {_SQL_LEAVES.format("np")} nl from para)
+select doc_id, n::bigint n_chars, edited_sha256, {_SQL_ROOT.format("ts")} fingerprint, {_SQL_ROOT.format("es")} edited_fingerprint, {_sql_near("t", "e")} near_edited, {_sql_near("t", "n")} near_next,
+    {_SQL_LOST.format("ts", "es", "substr(sha256(x), 1, 8)")} edited_sections,
+    {_SQL_LOST.format(_SQL_PARAGRAPHS.format("list_filter(ts, lambda x: not list_contains(es, x))"), _SQL_PARAGRAPHS.format("list_filter(es, lambda x: not list_contains(ts, x))"), "substr(x, len(x) - 63, 8)")} edited_paragraphs
 from leaf"""
 
 
