@@ -60,6 +60,13 @@ def give_back() -> None:
         return
 
 
+def table_bits(spark: SparkSession, least: int = 29) -> int:
+    """log2 of the bits that a broadcast bitmap may have: a 32nd of an executor's memory, 2**least at least."""
+    m = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.executor.memory", "1g").strip().lower())
+    size = int(m[1]) << {"": 20, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+    return max(least, (size // 4).bit_length() - 1)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -8,18 +8,22 @@ A window is `width` consecutive words. Each window has an anchor: the smallest h
    places where a window with that anchor stands, so no repeated window is lost.
 2. A second pass keeps only windows whose anchor is estimated at two places or more. Each chunk of a
    partition keeps its own earliest copy of a window and marks the later ones; runs of windows with
-   one anchor travel to the partition of that anchor, where equal windows (128 bits of hash) are grouped
-   and all but the earliest are marked. A hot passage thus reaches its reducer once per chunk, not once
-   per document.
+   one anchor travel to the partition of that anchor, where equal windows (by the hashes of window and
+   anchor, both of 64-bit word hashes) are grouped and all but the earliest are marked. A hot passage thus
+   reaches its reducer once per chunk, not once per document, and the windows around a hot anchor, in
+   whatever surroundings it stands, are dealt to many reducers by their own hash.
 3. Marks, merged to intervals, join the documents by id, and covered words go.
 
-The merged sketch is what is broadcast: 2 x 2**bits bits, with bits from the corpus size and at most
-`MAX_BITS` (128 MB in all). Beyond that size more windows pass the prefilter; the result stays exact.
+The merged sketch is what is broadcast: 2 x 2**bits bits, with bits from the corpus size and at most a 32nd of an
+executor's memory for each row (128 MB in all for executors up to 2 GB). Where a corpus outgrows that, more unique
+windows pass the prefilter, up to all of them at some 20 GB of text for each 128 MB; the result stays exact, and
+what is shuffled grows to about 1.4 times the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import TEXT_SLICE, memory_returned, order_id
+from nearplane.llm._common import TEXT_SLICE, memory_returned, order_id, table_bits
 
 DEPTH = 2
-MAX_BITS = 29
 CELLS = 1 << 16  # cells of a sketch block
-CHUNK = 3_000_000  # windows that are compared at once within a partition
+MERGERS = 32  # tasks that merge the sketches; the driver takes their results one by one
+HOT_BLOCK = -1  # stands for the list of anchors that are frequent in a task
+SPREAD = 10  # log2 of the tasks that the windows of a hot anchor are dealt to
+CHUNK = 1_000_000  # windows that are compared at once within a partition
+HOT_LOCAL, HOT = 1000, 200_000  # positions of an anchor in a task that are reported, and in all that make it hot
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -56,12 +63,16 @@ def anchors(h: np.ndarray, doc: np.ndarray, width: int, gram: int) -> tuple[np.n
     return masked, whole, grams[top == grams]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int, often: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
 
     def blocks() -> Iterator[pa.RecordBatch]:
         at = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        names, count = np.unique(at, return_counts=True)
+        if (count >= often).any():
+            names, count = names[count >= often], count[count >= often].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([HOT_BLOCK], pa.int64()), pa.array([names.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["block", "once", "more"])
         for row in range(DEPTH):
             cells, count = np.unique(_cells(at, row, bits), return_counts=True)
             block = (cells >> W.U(16)).astype(np.int64)
@@ -86,26 +97,36 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int)
     yield from blocks()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     count: dict[int, np.ndarray] = {}
+    often: Counter[int] = Counter()
     for b in batches:
         for block, once, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if block == HOT_BLOCK:
+                often.update(dict(zip(np.frombuffer(once, np.uint64).tolist(), np.frombuffer(more, np.int64).tolist(), strict=True)))
+                continue
             own = count.setdefault(block, np.zeros(CELLS, np.uint8))
             for data, by in ((once, 1), (more, 2)):
                 at = np.frombuffer(data, np.uint16)
                 own[at] = np.minimum(own[at] + by, 2)
     full = [(k, np.packbits(v > 1, bitorder="little").tobytes()) for k, v in count.items() if (v > 1).any()]
+    if hot := sorted(a for a, n in often.items() if n >= least):
+        full.append((HOT_BLOCK, np.array(hot, np.uint64).tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([v for _, v in full], pa.binary())], ["block", "twice"])
 
 
-def merged_sketch(docs: DataFrame, width: int, gram: int, bits: int) -> list[np.ndarray]:
-    """For each sketch row the bitmap of cells that were counted twice or more."""
-    parts = docs.select("text").mapInArrow(memory_returned(lambda it: _sketch(it, width, gram, bits)), "block long, once binary, more binary")
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in parts.repartition("block").mapInArrow(memory_returned(_merge), "block long, twice binary").toLocalIterator():
+def merged_sketch(docs: DataFrame, width: int, gram: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each sketch row the bitmap of cells that were counted twice or more; and the hot anchors, ascending."""
+    often, least = HOT_LOCAL, HOT
+    parts = docs.select("text").mapInArrow(memory_returned(lambda it: _sketch(it, width, gram, bits, often)), "block long, once binary, more binary")
+    out, hot = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)], np.zeros(0, np.uint64)
+    for r in parts.repartition(MERGERS, "block").mapInArrow(memory_returned(lambda it: _merge(it, least)), "block long, twice binary").toLocalIterator():
+        if r["block"] == HOT_BLOCK:
+            hot = np.frombuffer(r["twice"], np.uint64)
+            continue
         at = (r["block"] & ((1 << 40) - 1)) * (CELLS // 8)
         out[r["block"] >> 40][at : at + CELLS // 8] = np.frombuffer(r["twice"], np.uint8)
-    return out
+    return out, hot
 
 
 def _runs(ids, th, pos, anchor, wh=None) -> pa.RecordBatch:
@@ -143,14 +164,21 @@ def _later(ids, th, pos, anchor, wh) -> np.ndarray:
 def _candidates(batches: Iterator[pa.RecordBatch], width: int, gram: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    maps = sketch.value
+    maps, hot = sketch.value
+
+    def dealt(anchor: np.ndarray, wh: np.ndarray) -> np.ndarray:
+        """The key of each window: its anchor, or for a hot one, a mix of the anchor and the window's own hash."""
+        if not len(hot):
+            return anchor
+        often = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        return np.where(often, W.mix(anchor ^ (wh >> W.U(64 - SPREAD))), anchor)
 
     def flush() -> Iterator[pa.RecordBatch]:
         ids, th, pos, anchor, wh = (np.concatenate(x) for x in zip(*held, strict=True))
         late = _later(ids, th, pos, anchor, wh)
         yield _runs(ids[late], th[late], pos[late], anchor[late])
         keep = ~late
-        yield _runs(ids[keep], th[keep], pos[keep], anchor[keep], wh[keep])
+        yield _runs(ids[keep], th[keep], pos[keep], dealt(anchor[keep], wh[keep]), wh[keep])
 
     for b in W.slices(batches, TEXT_SLICE):
         buf, off = W.flat(b.column(2))
@@ -202,7 +230,7 @@ def repeated_windows(docs: DataFrame, width: int = 20, gram: int = 8) -> DataFra
     gram = min(gram, width)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors_about = size / 6 * 2 / (width - gram + 2)
-    bits = int(min(MAX_BITS, max(20, np.ceil(np.log2(4 * anchors_about + 1)))))
+    bits = int(min(table_bits(spark), max(20, np.ceil(np.log2(4 * anchors_about + 1)))))
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, width, gram, bits))
     keyed = docs.select(order_id().alias("oid"), F.xxhash64("text").alias("th"), "text")
     runs = keyed.mapInArrow(memory_returned(lambda it: _candidates(it, width, gram, bits, sketch)), _RUN)
