@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearplane.sources.hdf5 import read_hdf5
+
 
 def read_vecs(spark: SparkSession, path: str, dim: int, kind: str = "f") -> DataFrame:
     """(id, v): id is the record's place in the file. Fixed records make the file splittable.
@@ -55,23 +57,3 @@ def load(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
     if path.endswith((".hdf5", ".h5")):
         return read_hdf5(spark, path, "train")
     return spark.read.parquet(path)
-
-
-def read_hdf5(spark: SparkSession, path: str, name: str, rows: int = 100_000) -> DataFrame:
-    """(id, v) of a matrix in an HDF5 file that all executors can open; needs h5py."""
-    import h5py
-
-    with h5py.File(path) as f:
-        n = f[name].shape[0]
-
-    def part(batches):
-        import h5py
-        import pandas as pd
-
-        with h5py.File(path) as f:
-            for pdf in batches:
-                for lo in pdf["id"]:
-                    v = f[name][lo : lo + rows]
-                    yield pd.DataFrame({"id": range(lo, lo + len(v)), "v": v.astype(float).tolist()})
-
-    return spark.range(0, n, rows).mapInPandas(part, "id long, v array<double>")

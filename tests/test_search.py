@@ -1,4 +1,5 @@
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -11,7 +12,8 @@ from nearplane.functions import quantization as Q
 from nearplane.functions import vector as V
 from nearplane.operators import evaluate, pca, search, topk
 from nearplane.plans import sweep, theory
-from nearplane.sources import vecs
+from nearplane.sources import hdf5, vecs
+from nearplane.streaming import serve
 
 RNG = np.random.default_rng(3)
 X, QS = RNG.normal(size=(90, 12)), RNG.normal(size=(5, 12))
@@ -140,6 +142,20 @@ def test_phase1_against_numpy(data, group, monkeypatch):
     assert {(r["qid"], r["id"], round(r["score"], 9)) for r in got} == want
 
 
+def test_best_groups_over_many_tiles(monkeypatch):
+    monkeypatch.setattr(search, "TILE_BYTES", 5 * 8 * 7)
+    ids = RNG.permutation(90)
+    for group, keep in ((1, 6), (4, 9), (7, 13)):
+        best = search.Best(len(QS), keep, group)
+        for part in np.array_split(ids, 4):  # groups lie in several tiles and batches
+            search._head_scores(best, QS, part, X[part], False)
+        score = (X * X).sum(1)[None] - 2 * QS @ X.T
+        got = best.rows(np.arange(len(QS))).to_pylist()
+        for q in range(len(QS)):
+            want = sorted(min((score[q, j], j) for j in range(g, min(g + group, 90))) for g in range(0, 90, group))[:keep]
+            assert [(r["id"], round(r["score"], 9)) for r in got if r["qid"] == q] == [(j, round(float(x), 9)) for x, j in want]
+
+
 def test_half_precision_scores(data):
     q, y = QS.astype(np.float16).astype(np.float32), X.astype(np.float16).astype(np.float32)
     norms = (X * X).sum(1)
@@ -211,6 +227,69 @@ def test_vecs_files(spark, tmp_path):
         vecs.load(spark, str(tmp_path / "a.fvecs"))
 
 
+def hdf5_bytes(named):
+    """A file of the classic layout by its specification: superblock, heap of names, one node of names, a header and the data of each matrix."""
+    heap, where = bytearray(8), {}
+    for name in sorted(named):
+        where[name] = len(heap)
+        heap += name.encode() + b"\0" * (8 - len(name) % 8)
+    tree_at, heap_at, names_at = 96, 96 + 24 + 8 * 33, 96 + 24 + 8 * 33 + 32
+    node_at = names_at + len(heap)
+    headers_at = node_at + 8 + 40 * 8
+    headers, data_at, body = b"", headers_at + 512 * len(named), b""
+    entries = b""
+    for i, name in enumerate(sorted(named)):
+        x, layout = named[name] if isinstance(named[name], tuple) else (named[name], 1)
+        f = x.dtype.kind == "f"
+        space = struct.pack("<BBBB4x2Q", 1, 2, 0, 0, *x.shape)
+        kind = struct.pack("<BBBBI", 0x10 | f, 0x20 if f else 8 * (x.dtype.kind == "i"), 0x1F if f else 0, 0, x.dtype.itemsize) + (struct.pack("<HHBBBBI4x", 0, 32, 23, 8, 0, 23, 127) if f else struct.pack("<HH4x", 0, 32))
+        place = struct.pack("<BBQQ6x", 3, layout, data_at + len(body), x.nbytes)
+        first, rest = [(0x01, space), (0x03, kind)], struct.pack("<HHB3x", 0x08, len(place), 0) + place
+        at = headers_at + 512 * i
+        first.append((0x10, struct.pack("<QQ", at + 256, len(rest))))  # the layout stands in a further block
+        said = b"".join(struct.pack("<HHB3x", k, len(d), 0) + d for k, d in first)
+        headers += (struct.pack("<BBHII4x", 1, 0, 4, 1, len(said)) + said).ljust(256, b"\0") + rest.ljust(256, b"\0")
+        entries += struct.pack("<QQII16x", where[name], at, 0, 0)
+        body += x.tobytes()
+    top = hdf5.SIGNATURE + struct.pack("<BBBBBBBBHHI4Q", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0, 0, (1 << 64) - 1, data_at + len(body), (1 << 64) - 1) + struct.pack("<QQII2Q", 0, 0, 1, 0, tree_at, heap_at)
+    tree = (b"TREE" + struct.pack("<BBHQQ", 0, 0, 1, (1 << 64) - 1, (1 << 64) - 1) + struct.pack("<QQQ", 0, node_at, 0)).ljust(24 + 8 * 33, b"\0")
+    names = b"HEAP" + struct.pack("<B3xQQQ", 0, len(heap), 1, names_at)
+    node = (b"SNOD" + struct.pack("<BBH", 1, 0, len(named)) + entries).ljust(8 + 40 * 8, b"\0")
+    return top + tree + names + bytes(heap) + node + headers + body
+
+
+def test_hdf5_files(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(hdf5, "SLICE_BYTES", 700)
+    far = ((QS[:, None] - X[None]) ** 2).sum(2) ** 0.5
+    near = np.argsort(far, 1)[:, :6].astype("<u4")
+    file = {"train": X.astype("<f4"), "test": QS.astype("<f4"), "neighbors": near, "distances": np.sort(far, 1)[:, :6].astype("<f4")}
+    (tmp_path / "a.hdf5").write_bytes(hdf5_bytes(file))
+    got = hdf5.load_dataset(spark, str(tmp_path / "a.hdf5"))
+    assert np.allclose([r["v"] for r in got.base.orderBy("id").collect()], X, atol=1e-6) and got.base.rdd.getNumPartitions() > 1
+    assert answers(search.knn_exact(got.base, got.queries, 6)) == answers(got.truth)
+    assert np.allclose([r["distance"] for r in got.truth.orderBy("qid", "rank").collect()], np.sort(far, 1)[:, :6].ravel(), atol=1e-5)
+    assert vecs.load(spark, str(tmp_path / "a.hdf5")).count() == 90
+    (tmp_path / "b.h5").write_bytes(hdf5_bytes({"train": X, "test": QS, "neighbor_indices": near.astype("<i8"), "chunked": (X, 2)}))
+    got = hdf5.load_dataset(spark, str(tmp_path / "b.h5"))
+    assert answers(got.truth) == answers(search.knn_exact(*data, 6)) and got.truth.columns == ["qid", "rank", "id"]
+    assert set(hdf5.matrices(str(tmp_path / "b.h5"))) == {"train", "test", "neighbor_indices"}
+    (tmp_path / "c.h5").write_bytes(b"no such file" * 20)
+    with pytest.raises((hdf5.Unsupported, ImportError)):
+        hdf5.load_dataset(spark, str(tmp_path / "c.h5"))
+
+
+def test_streamed_queries(spark, data, tmp_path):
+    seen = []
+    data[1].coalesce(1).write.parquet(str(tmp_path / "asked"))
+    stream = spark.readStream.schema(data[1].schema).parquet(str(tmp_path / "asked"))
+    running = serve.serve(stream, data[0], 4, lambda df, number: seen.extend((number, *r) for r in answers(df)))
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert seen == [(0, *r) for r in answers(search.knn_exact(*data, 4))]
+
+
 def test_sweep_and_summary(spark, data, tmp_path):
     truth = search.knn_exact(*data, 5)
     out = sweep.sweep(*data, truth, 5, [sweep.Config(12, 1, 20), sweep.Config(6, 2, 20, "quantized")])
