@@ -1,4 +1,8 @@
-"""From documents to training shards: five stages, each the whole of what the stage before kept."""
+"""From documents to training shards: five stages, each the whole of what the stage before kept.
+
+All stages but the last give the columns of documents, in their order; further columns of the input are dropped at
+the first stage. Texts are read whole, however long. An empty table passes through all stages as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +17,40 @@ PIPELINE_SHARE = 0.8  # of the tokens that reach the mixture
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, trained on all labelled documents of the table; documents predicted toxic go."""
+    """Operator 10, trained on the labelled documents of the table (a bounded sample); documents predicted toxic go.
+
+    Rows with a null, empty or letterless text stay; rows that repeat a text are decided alike; without a toxic label
+    all stay.
+    """
     model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), model)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6 on five-word shingles at 0.8; the smallest doc_id of each group stays."""
+    """Operator 6 on five-word shingles at 0.8; the smallest doc_id of each group stays.
+
+    Decided by row: where an id stands for several texts, each is judged in its own group. Equal rows of the smallest
+    id all stay, a null id counts as the smallest, and rows without words are groups of their own.
+    """
     return jaccard_join.one_per_group(docs.select(*COLUMNS), k=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2; documents with a benchmark passage go."""
+    """Operator 2; documents with a benchmark passage go. Rows with a null or empty text stay; null or empty items match nothing."""
     return decontamination.decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1; a document stands once for each epoch that takes it."""
+    """Operator 1; a document stands once for each epoch that takes it, at a leaf's cut with its first words only.
+
+    The words that are left are the budget, to the word. Rows with a null text, or one without words, are never taken;
+    a null language or source is a branch of its own; rows that are equal are taken one by one.
+    """
     return source_mixing.mixture(docs.select(*COLUMNS), MIX_WEIGHTS, PIPELINE_SHARE, MIX_EPOCHS, MIX_SEED)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9; the rows of its files."""
+    """Operator 9; a row for each document in its files, in ascending order of doc_id, null first, repeated ids side by side."""
     return token_output.token_output(docs.select(*COLUMNS), tokenizer_path())
 
 
