@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from nearplane.llm._common import memory_returned
 
 RATE = 0.05
-MIN_CHARS = 16  # shorter items only match whole texts
 BLOCK_CHARS = 8_000_000
 
 
@@ -74,14 +73,12 @@ class Matcher:
         import ahocorasick
 
         self.items, self.rate = items, rate
-        self.whole = {text: i for i, (text, _) in enumerate(items) if len(text) < MIN_CHARS}
         self.budget = [int(rate * len(text)) for text, _ in items]
         self.masks: dict[int, tuple[dict, dict]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (text, _) in enumerate(items):
-            if len(text) >= MIN_CHARS:
-                for at, piece in pieces(text, self.budget[i]):
-                    found.setdefault(piece, []).append((i, at))
+            for at, piece in pieces(text, self.budget[i]):
+                found.setdefault(piece, []).append((i, at))
         self.auto = ahocorasick.Automaton()
         for piece, where in found.items():
             self.auto.add_word(piece, (len(piece), where))
@@ -92,8 +89,6 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of the best place of each item found in a normalised text."""
         out = []
-        if len(text) < MIN_CHARS and text in self.whole:
-            out.append((self.whole[text], 0, 0, len(text)))
         places: dict[int, list[int]] = {}
         if self.any:
             for last, (size, where) in self.auto.iter(text):
@@ -165,9 +160,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     """(doc_id, item_id, n_edits, start, end): the best place of each benchmark item in each document that has it.
 
     start and end are code points of the normalised text, end exclusive; ties go to the first end. A document
-    or item that stands in several rows gives a row for each. Null or empty texts and items match nothing; items
-    under `MIN_CHARS` characters only match texts that equal them. Empty tables give no rows, and further
-    columns are not read.
+    or item that stands in several rows gives a row for each; a null id is given back as null. Null or empty texts
+    and items match nothing. Whole texts are read, however long, and items of any length are searched for: one
+    under 1 / rate characters must stand unchanged. Empty tables give no rows, and further columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,7 +181,10 @@ def _clean(batches: Iterator[pa.RecordBatch], text: int, block: Broadcast, rate:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has no benchmark item; see contaminated()."""
+    """The rows of docs, with all their columns, whose text has no benchmark item; see contaminated().
+
+    Rows with a null or empty text stay, and so do all rows if there are no items; repeated rows are decided alike.
+    """
     spark = docs.sparkSession
     for block in _item_blocks(items):
         sent = spark.sparkContext.broadcast((uuid4().hex, block))
