@@ -5,8 +5,9 @@ bigrams, so most lines meet no template at all and the rest only a few. Template
 bounded number and stand in the plan as a constant.
 
 Beside lines and whole texts, runs of consecutive sentences are compared, within a line or across lines.
-A run that matches has most bigrams of its template, so it has one of a few words of the template; only
-texts with such a word, and with enough of a template's bigrams in all, are cut into sentences.
+Whatever reaches the threshold against a template has most of its bigrams, and so one of a few words of the
+template, the anchors; texts and lines without an anchor are passed over, and only texts that have enough of a
+template's bigrams in all are cut into sentences.
 """
 
 from __future__ import annotations
@@ -40,7 +41,15 @@ TEMPLATES = {
 }
 TEMPLATES |= {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _SENTENCE = r"(?<=[.!?:;])\s+"
-_COMMON = frozenset("a an and any are as at be but by for from in is it no not of on or other such that the this to under will with you your".split())
+#: Words of everyday prose, which make poor anchors.
+_COMMON = frozenset(
+    """a about above after all also an and any are as at b be because been before being between both but by can could did do does
+    each either etc every few first for from further general given had has have having he her here him his how i if in into is it
+    its last less like made make making many may me means might mit more most must my new no non nor not now of off offer on once
+    one only or other others otherwise our out over own part person s same section see shall she should so some such than that the
+    their them then there these they this those through time to too two under until up upon use used using very was way we were
+    what when where which while who will with within without would you your""".split()
+)
 
 
 def normal_words(text: str) -> list[str]:
@@ -75,6 +84,12 @@ def anchor_words(known: dict[str, list[str]], threshold: float) -> list[str]:
     return chosen
 
 
+def _by_first(words: list[str]) -> str:
+    """A pattern of any of words that looks at a letter once."""
+    first = {c: sorted(w[1:] for w in words if w[0] == c) for c in sorted({w[0] for w in words})}
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items())
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
@@ -156,20 +171,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         none = F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license"))
         return F.when(n.between(fewest, most), F.aggregate(F.array(*scored), none, lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a)))
 
+    anchor = rf"(?<![a-z0-9])(?:{_by_first(anchor_words(known, threshold))})(?![a-z0-9])"
+    anchored = lambda text: F.lower(text).rlike(anchor)
+
     def hit(unit: Column) -> Column:
         words = _words(unit)
         # a unit of n characters has (n + 1) / 2 words at most
-        return F.when(F.length(unit) >= 2 * fewest + 1, _let(words, lambda w: F.when(F.size(w) > fewest, _let(_bigrams(w), best))))
+        return F.when((F.length(unit) >= 2 * fewest + 1) & anchored(unit), _let(words, lambda w: F.when(F.size(w) > fewest, _let(_bigrams(w), best))))
 
     none = "cast(array() as array<struct<line:bigint,unit:string>>)"
     whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).cast("long").alias("line"), F.col("text").alias("unit")))).otherwise(F.expr(none))
     units = F.concat(whole, F.transform("lines", lambda x, i: F.struct(i.cast("long").alias("line"), x.alias("unit"))))
     found = F.filter(F.transform(units, lambda u: F.struct(u["line"].alias("line"), hit(u["unit"]).alias("b"))), lambda x: x["b"]["dice"] >= threshold)
-    lines = docs.where("text is not null").select("doc_id", "text", F.split("text", "\n").alias("lines"))
-    has_anchor = F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(anchor_words(known, threshold))})(?![a-z0-9])")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = texts.where(F.col("text").isNotNull() & anchored(F.col("text"))).select("doc_id", "text", F.split("text", "\n").alias("lines"))
     # line units from 0 are all lines, so a run's own line is told by its number
     fresh = lambda r, h: ~r["whole"] & ~F.exists(h, lambda x: (x["line"] >= r["line"]) & (x["line"] <= r["last"]) & ((r["line"] == r["last"]) | (x["b"]["license"] == r["license"])))
     as_hit = lambda r: F.struct(r["line"].alias("line"), F.struct(r["dice"].alias("dice"), r["license"].alias("license")).alias("b"))
-    runs = lambda h: F.when(has_anchor, F.concat(h, F.transform(F.filter(_runs(F.col("lines"), known, threshold), lambda r: fresh(r, h)), as_hit))).otherwise(h)
+    runs = lambda h: F.concat(h, F.transform(F.filter(_runs(F.col("lines"), known, threshold), lambda r: fresh(r, h)), as_hit))
     hits = lines.select("doc_id", F.explode(_let(found, runs)).alias("h"))
     return hits.select("doc_id", "h.line", "h.b.license", F.round("h.b.dice", 6).alias("dice"))
