@@ -11,6 +11,7 @@ groups of rows, so `keep` rows a query leave a task and no matrix of distances i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +23,58 @@ from nearplane.functions import vector as V
 from nearplane.operators.topk import group_min, top_k
 
 QUERY_BYTES = 32 << 20  # of queries in a broadcast
+FEW_QUERIES = 4096  # that are fetched without counting them first
 CANDIDATE_BYTES = 64 << 20  # of candidates in a broadcast
 TILE_BYTES = 16 << 20  # of a tile of distances
 BLOCK_BYTES = 4 << 20  # of a packed block of vectors
 
 
-def query_shape(queries: DataFrame) -> tuple[int, int]:
-    """How many usable queries there are, and their dimension; several dimensions raise."""
-    size = F.size("q")
-    row = queries.where(F.col("qid").isNotNull() & V.is_usable(F.col("q"))).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi")).first()
-    if row["n"] and row["lo"] != row["hi"]:
+@dataclass
+class Asked:
+    """A set of usable queries: how many, their dimension, and, if they fit a broadcast, ids and vectors in id order."""
+
+    frame: DataFrame
+    n: int
+    dim: int
+    qid: np.ndarray | None = None
+    q: np.ndarray | None = None
+
+
+def asked_of(queries: DataFrame | Asked) -> Asked:
+    """Queries looked at once; several dimensions raise."""
+    if isinstance(queries, Asked):
+        return queries
+    frame = V.usable(queries, "qid", "q").select(F.col("qid").cast("long").alias("qid"), "q")
+    few = frame.limit(FEW_QUERIES + 1).toArrow()  # in most cases one job tells all
+    if few.num_rows <= FEW_QUERIES and few.nbytes <= QUERY_BYTES:
+        lengths = np.diff(np.asarray(few.column(1).combine_chunks().offsets)) if few.num_rows else np.zeros(0, np.int64)
+        n, low, high = few.num_rows, *((lengths.min(), lengths.max()) if few.num_rows else (0, 0))
+    else:
+        size, few = F.size("q"), None
+        n, low, high = frame.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
+    if n and low != high:
         raise ValueError("queries of several dimensions")
-    return row["n"], row["hi"] or 0
+    dim = int(high or 0)
+    if 8 * n * dim > QUERY_BYTES:
+        return Asked(frame, n, dim)
+    few = frame.toArrow() if few is None else few
+    qid = few.column(0).to_numpy().astype(np.int64)
+    order = np.argsort(qid, kind="stable")
+    return Asked(frame, n, dim, qid[order], V.matrix(few.column(1), dim)[1][order] if n else np.zeros((0, dim)))
 
 
 def all_pairs(base: DataFrame, queries: DataFrame) -> DataFrame:
     """Every usable base row with every usable query of a stated set."""
-    n, dim = query_shape(queries)
-    rows, asked = V.usable(base, "id", "v", dim if n else None), V.usable(queries, "qid", "q")
-    return rows.crossJoin(F.broadcast(asked) if 8 * n * dim <= QUERY_BYTES else asked)
+    asked = asked_of(queries)
+    rows = V.usable(base, "id", "v", asked.dim if asked.n else None)
+    return rows.crossJoin(asked.frame if asked.q is None else F.broadcast(asked.frame))
 
 
 def brute_force(base: DataFrame, queries: DataFrame) -> DataFrame:
     return all_pairs(base, queries).select("qid", "id", V.l2_squared(F.col("v"), F.col("q")).alias("score"))
 
 
-def knn_exact(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def knn_exact(base: DataFrame, queries: DataFrame | Asked, k: int) -> DataFrame:
     """qid, rank, id, d2 of the k nearest, in column expressions."""
     return top_k(brute_force(base, queries), k).select("qid", "rank", "id", F.col("score").alias("d2"))
 
@@ -184,25 +211,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], sent, dim: int, keep: int, group:
             yield best.rows(qid)
 
 
-def _best_groups(base: DataFrame, queries: DataFrame, keep: int, group: int, rotation: np.ndarray | None, head: int | None, half: bool = False) -> DataFrame:
+def _best_groups(base: DataFrame, queries: DataFrame | Asked, keep: int, group: int, rotation: np.ndarray | None, head: int | None, half: bool = False) -> DataFrame:
     """Parts of the answer: qid, id, score of at most `keep` groups a query from each task or pair of blocks."""
-    spark = base.sparkSession
-    n, dim = query_shape(queries)
-    if not n:
+    spark, asked = base.sparkSession, asked_of(queries)
+    if not asked.n:
         return spark.createDataFrame([], _SCORES)
-    rows = base.select(F.col("id").cast("long").alias("id"), "v")
-    asked = V.usable(queries, "qid", "q").select(F.col("qid").cast("long").alias("qid"), "q")
+    rows, dim, q = base.select(F.col("id").cast("long").alias("id"), "v"), asked.dim, asked.q
     if rotation is not None and head is not None:
         rotation = np.ascontiguousarray(rotation[:, :head])
-    if 8 * n * dim <= QUERY_BYTES:
-        t = asked.toArrow()
-        qid, q = t.column(0).to_numpy().astype(np.int64), V.matrix(t.column(1), dim)[1]
+    if q is not None:
         if head is not None:
             q = q @ rotation if rotation is not None else q[:, :head]
-        sent = spark.sparkContext.broadcast((qid, q, rotation))
+        sent = spark.sparkContext.broadcast((asked.qid, q, rotation))
         return rows.mapInArrow(lambda it: _scan(it, sent, dim, keep, group, head, half), _SCORES)
     block = max(1, BLOCK_BYTES // (8 * dim))
-    left = asked.mapInArrow(lambda it: pack(it, dim, block), "ids binary, vs binary").select(F.col("ids").alias("qids"), F.col("vs").alias("qs"))
+    left = asked.frame.mapInArrow(lambda it: pack(it, dim, block), "ids binary, vs binary").select(F.col("ids").alias("qids"), F.col("vs").alias("qs"))
     right = rows.mapInArrow(lambda it: pack(it, dim, block), "ids binary, vs binary")
     turned = spark.sparkContext.broadcast(rotation)
     return right.crossJoin(left).select("qids", "qs", "ids", "vs").mapInArrow(lambda it: _blocks(it, turned, dim, keep, group, head, half), _SCORES)  # blocks, not rows
@@ -239,16 +262,13 @@ def _pairs(batches: Iterator[pa.RecordBatch], sent, dim: int) -> Iterator[pa.Rec
 
 def pair_scores(base: DataFrame, queries: DataFrame, rotation: np.ndarray | None = None, d: int | None = None) -> DataFrame:
     """qid, id, score of every pair by matrix products: squared norm of the row less twice the product, on d coordinates."""
-    spark = base.sparkSession
-    n, dim = query_shape(queries)
-    if 8 * n * dim > QUERY_BYTES:
+    spark, asked = base.sparkSession, asked_of(queries)
+    if asked.q is None:
         raise ValueError("all pairs are only listed for a set of queries that can be broadcast")
-    if not n:
+    if not asked.n:
         return spark.createDataFrame([], _SCORES)
-    t = V.usable(queries, "qid", "q").select(F.col("qid").cast("long"), "q").toArrow()
-    q = V.matrix(t.column(1), dim)[1]
-    turn = None if rotation is None else np.ascontiguousarray(rotation[:, : d or dim])
-    sent = spark.sparkContext.broadcast((t.column(0).to_numpy().astype(np.int64), q @ turn if turn is not None else q[:, : d or dim], turn))
+    dim, turn = asked.dim, None if rotation is None else np.ascontiguousarray(rotation[:, : d or asked.dim])
+    sent = spark.sparkContext.broadcast((asked.qid, asked.q @ turn if turn is not None else asked.q[:, : d or dim], turn))
     return base.where("id is not null").select(F.col("id").cast("long").alias("id"), "v").mapInArrow(lambda it: _pairs(it, sent, dim), _SCORES)
 
 
@@ -273,7 +293,7 @@ def looked_up(cand: DataFrame, rows: DataFrame, bound: int | None) -> DataFrame:
 
 
 def refine_exact(cand: DataFrame, base: DataFrame, queries: DataFrame, k: int, bound: int | None = None) -> DataFrame:
-    both = looked_up(cand.select("qid", "id"), base.select("id", "v"), bound).join(queries.select("qid", "q"), "qid")
+    both = looked_up(cand.select("qid", "id"), base.select("id", "v"), bound).join(queries.frame if isinstance(queries, Asked) else queries.select("qid", "q"), "qid")
     return top_k(both.select("qid", "id", V.l2_squared(F.col("v"), F.col("q")).alias("score")), k).select("qid", "rank", "id", F.sqrt("score").alias("dist"))
 
 
@@ -311,20 +331,16 @@ def _add_tails(batches: Iterator[pa.RecordBatch], sent, dim: int, d: int) -> Ite
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(score)], ["qid", "id", "score"])
 
 
-def _tail_scores(few: DataFrame, queries: DataFrame, rotation: np.ndarray | None, d: int) -> DataFrame:
+def _tail_scores(few: DataFrame, asked: Asked, rotation: np.ndarray | None, d: int) -> DataFrame:
     """qid, id, score of candidates (qid, id, score, v): the head's score plus the quantised score of the tail."""
     from nearplane.operators.pca import project
 
-    n, dim = query_shape(queries)
-    asked = V.usable(queries, "qid", "q").select(F.col("qid").cast("long").alias("qid"), "q")
-    if 8 * n * dim <= QUERY_BYTES:
-        t = asked.orderBy("qid").toArrow()
-        turn = None if rotation is None else np.ascontiguousarray(rotation[:, d:])
-        q = V.matrix(t.column(1), dim)[1] if n else np.zeros((0, dim))
-        sent = few.sparkSession.sparkContext.broadcast((t.column(0).to_numpy(), *coded(q @ turn if turn is not None else q[:, d:]), turn))
+    if asked.q is not None:
+        dim, turn = asked.dim, None if rotation is None else np.ascontiguousarray(rotation[:, d:])
+        sent = few.sparkSession.sparkContext.broadcast((asked.qid, *coded(asked.q @ turn if turn is not None else asked.q[:, d:]), turn))
         return few.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), "score", "v").mapInArrow(lambda it: _add_tails(it, sent, dim, d), _SCORES)
     tails = split(project(few, "v", rotation), "y", d).select("qid", "id", "score", Q.sq_info(F.col("tail")).alias("x"))
-    q = split(project(queries, "q", rotation), "y", d).select("qid", Q.sq_info(F.col("tail")).alias("y"), F.size("tail").alias("dim"))
+    q = split(project(asked.frame, "q", rotation), "y", d).select("qid", Q.sq_info(F.col("tail")).alias("y"), F.size("tail").alias("dim"))
     return tails.join(q, "qid").select("qid", "id", (F.col("score") + Q.sq_score(F.col("x"), F.col("y"), F.col("dim"))).alias("score"))
 
 
@@ -334,14 +350,14 @@ def search(base: DataFrame, queries: DataFrame, rotation: np.ndarray | None, d:
         raise ValueError("refine is exact or quantized")
     n = base.count() if n is None else n
     check_sizes(-(-n // group_size), phase1_topk, k)
-    asked, _ = query_shape(queries)
-    bound = asked * phase1_topk
-    cand = phase1(base, queries, rotation, d, group_size, phase1_topk, half)
+    asked = asked_of(queries)
+    bound = asked.n * phase1_topk
+    cand = phase1(base, asked, rotation, d, group_size, phase1_topk, half)
     if refine == "exact":
-        return refine_exact(cand, base, queries, k, bound)
+        return refine_exact(cand, base, asked, k, bound)
     # only candidates are rotated as a whole
     few = looked_up(cand, base.select("id", "v"), bound)
-    return top_k(_tail_scores(few, queries, rotation, d), k).select("qid", "rank", "id", "score")
+    return top_k(_tail_scores(few, asked, rotation, d), k).select("qid", "rank", "id", "score")
 
 
 def search_index(index, queries: DataFrame, k: int, group_size: int, phase1_topk: int, refine: str = "quantized", base: DataFrame | None = None) -> DataFrame:
@@ -351,9 +367,17 @@ def search_index(index, queries: DataFrame, k: int, group_size: int, phase1_topk
     if refine not in ("exact", "quantized") or refine == "exact" and base is None:
         raise ValueError("refine is exact, which needs the base, or quantized")
     check_sizes(-(-index.n // group_size), phase1_topk, k)
-    asked, _ = query_shape(queries)
-    pq = split(project(V.usable(queries, "qid", "q", index.dim), "q", index.rotation), "y", index.head)
-    cand = phase1(index.projected.select("id", F.col("head").alias("v")), pq.select("qid", F.col("head").alias("q")), None, index.head, group_size, phase1_topk)
+    asked = asked_of(queries)
+    if asked.n and asked.dim != index.dim:
+        raise ValueError(f"the index holds vectors of dimension {index.dim}")
+    bound, heads = asked.n * phase1_topk, index.projected.select("id", F.col("head").alias("v"))
+    if asked.q is not None:
+        y = asked.q @ index.rotation
+        cand = phase1(heads, Asked(asked.frame, asked.n, index.head, asked.qid, y[:, : index.head]), None, index.head, group_size, phase1_topk)
+        tails = index.projected.sparkSession.createDataFrame(pa.table({"qid": asked.qid, "tail": pa.array(list(y[:, index.head :]), pa.list_(pa.float64()))}))
+    else:
+        pq = split(project(asked.frame, "q", index.rotation), "y", index.head)
+        cand, tails = phase1(heads, pq.select("qid", F.col("head").alias("q")), None, index.head, group_size, phase1_topk), pq.select("qid", "tail")
     if refine == "exact":
-        return refine_exact(cand, base, queries, k, asked * phase1_topk)
-    return refine_quantized(cand, index.coded, pq.select("qid", "tail"), k, index.bits, asked * phase1_topk)
+        return refine_exact(cand, base, asked, k, bound)
+    return refine_quantized(cand, index.coded, tails, k, index.bits, bound)

@@ -32,16 +32,16 @@ def queries_per_second(queries: int, seconds: float) -> int:
 def sweep(base: DataFrame, queries: DataFrame, truth: DataFrame, k: int, configs: Iterable[Config], rotation: np.ndarray | None = None) -> DataFrame:
     """head, group_size, phase1_topk, refine, qps, recall of each configuration; k answers a query reach the driver."""
     spark = base.sparkSession
-    n, (asked, _) = base.count(), search.query_shape(queries)
+    n, asked = base.count(), search.asked_of(queries)
     want = truth.where(F.col("rank") <= k).select("qid", "id").toArrow()  # k rows a query
     known = spark.createDataFrame(want).withColumn("rank", F.lit(1))
     rows = []
     for c in configs:
         began = time.perf_counter()
-        got = search.search(base, queries, rotation, c.head, k, c.group_size, c.phase1_topk, c.refine, n).select("qid", "id").toArrow()
+        got = search.search(base, asked, rotation, c.head, k, c.group_size, c.phase1_topk, c.refine, n).select("qid", "id").toArrow()
         took = time.perf_counter() - began
-        recall = evaluate.recall(spark.createDataFrame(got), known, k, asked).first()[0]
-        rows.append((*astuple(c), queries_per_second(asked, took), recall))
+        recall = evaluate.recall(spark.createDataFrame(got), known, k, asked.n).first()[0]
+        rows.append((*astuple(c), queries_per_second(asked.n, took), recall))
     return spark.createDataFrame(rows, _RESULT)
 
 
