@@ -16,30 +16,35 @@ n - ceil(t n) + 1 tokens of a set of n). Each order is a filter of its own; a ca
    on whole sets; a set travels once to each tile, not once for each pair.
 4. Verified links make components, which documents get back through their set's name.
 
-Token sets are only rebuilt for sets in a candidate, found by a Bloom bitmap of bounded size. Tokens are
-shipped as 48 bits of their hash.
+Sets are rebuilt from the text where they are needed: sketches for sets in a candidate, whole sets for members of
+blocks. A Bloom bitmap of bounded size names the rows to look at, one for each set, however many copies it has.
+
+Words, shingles and sets are known by 64-bit hashes. Two given sets of a and b shingles share a false one with a
+probability of a b / 2**64 (5e-11 for a = b = 32,000), which changes the answer only for pairs that are a single
+shingle off the threshold; any two of N different sets share a name with a probability of N**2 / 2**65 (0.03 for a
+billion). Within these odds the join is exact.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import LOWEST_ID, TEXT_SLICE, memory_returned, order_id, shuffle_parts, stored
+from nearplane.llm._common import LOWEST_ID, TEXT_SLICE, memory_returned, order_id, shuffle_parts, stored, table_bits
 from nearplane.llm.components import connected_components
 
 MAX_FREQUENT = 1_000_000
 LOCAL_FREQUENT = 3  # distinct sets of a partition that a token must stand in to be reported
 PARTNERS = 16  # sets of one token and a matching size up to which pairs are listed
-CELL = 256  # sets of a cell of a block
+CELL, CELL_TOKENS = 256, 1_000_000  # sets and tokens of a cell of a block
+CUT_ROWS = 200_000  # rows of the table of cut blocks up to which it is broadcast
+BLOOM_BLOCK = 19  # log2 of the bits of a block of the bitmap
 ORDERS = (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 _SIG = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
 
@@ -97,6 +102,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, text: int, once: bool = Tru
         yield b, tokens, off, sig, rows
 
 
+_MIXED = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def row_keys(sig: np.ndarray, oid: np.ndarray, text_key: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row by its set, id and text; the least one of a set's rows stands for the set."""
+    return W.mix(sig ^ W.mix(oid.view(np.uint64) * W.U(_MIXED[0]) ^ text_key.view(np.uint64) * W.U(_MIXED[1])))
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -110,7 +123,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         n = off[rows + 1] - off[rows]
         held.append(tokens[_spans(off[rows], n)])
         size += len(held[-1])
-        if size > 2_000_000:
+        if size > 4_000_000:
             yield counted()
             held, size = [], 0
     if held:
@@ -163,7 +176,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
             own = np.sort(np.partition(own, p - 1)[:p] if p < len(own) else own)
             held.append((own, np.full(p, sig[i]), np.full(p, z - a, np.int32), np.arange(p, dtype=np.int32)))
             size += p
-        if size > 400_000:
+        if size > 800_000:
             yield flush()
             held, size = [], 0
     if held:
@@ -177,7 +190,7 @@ def _cand(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
     """Of the sets of each token: pairs (kind 0) of a set with the few sets of a size it may match, and chains
     (kind 1) of neighbours by size where a set has many, so that all these sets hang together."""
     got = [b for b in batches if b.num_rows]
@@ -195,7 +208,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
     place = (np.cumsum(new) << 32) + n  # ascending: token, then size
     at = np.arange(len(token))
     partners = np.searchsorted(place, place - n + n.astype(np.int64) * den // num, "right") - at - 1
-    few = np.flatnonzero((partners > 0) & (partners <= PARTNERS))
+    few = np.flatnonzero((partners > 0) & (partners <= most))
     if len(few):
         i = np.repeat(few, partners[few])
         j = _spans(few + 1, partners[few])
@@ -209,7 +222,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
         keep = np.ones(len(low), bool)
         keep[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         yield _cand(0, low[keep], high[keep])
-    many = np.flatnonzero(partners > PARTNERS)
+    many = np.flatnonzero(partners > most)
     if len(many):
         edge = np.zeros(len(token) + 1, np.int64)
         np.add.at(edge, many, 1)
@@ -224,22 +237,54 @@ def _bloom_cells(sig: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    own = np.zeros(1 << bits, bool)
+    """Blocks of the bitmap that a task's sets touch."""
+    at = [np.concatenate(_bloom_cells(b.column(0).to_numpy().view(np.uint64), bits)) for b in batches if b.num_rows]
+    cells = np.unique(np.concatenate(at)) if at else np.zeros(0, np.uint64)
+    block = (cells >> W.U(BLOOM_BLOCK)).astype(np.int64)
+    names, first = np.unique(block, return_index=True)
+    inner = (cells & W.U((1 << BLOOM_BLOCK) - 1)).astype(np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), W.binary_column(inner, np.append(first, len(inner)))], ["block", "cells"])
+
+
+def _bloom_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    have: dict[int, np.ndarray] = {}
     for b in batches:
-        for c in _bloom_cells(b.column(0).to_numpy().view(np.uint64), bits):
-            own[c] = True
-    if own.any():
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], ["bits"])
+        for block, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = have.setdefault(block, np.zeros((1 << BLOOM_BLOCK) // 8, np.uint8))
+            at = np.frombuffer(cells, np.uint32)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int64()), pa.array([v.tobytes() for v in have.values()], pa.binary())], ["block", "bits"])
+
+
+def bloom(involved: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of the sets of involved, merged in executors block by block; the driver gets 2**bits bits at most."""
+    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    size = (1 << BLOOM_BLOCK) // 8
+    merged = involved.mapInArrow(memory_returned(lambda it: _bloom_part(it, bits)), "block long, cells binary").repartition("block").mapInArrow(memory_returned(_bloom_merge), "block long, bits binary")
+    for r in merged.collect():
+        part = out[r["block"] * size : (r["block"] + 1) * size]
+        part[:] = np.frombuffer(r["bits"], np.uint8)[: len(part)]
+    return out
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, classes, bloom, bits: int) -> Iterator[pa.RecordBatch]:
-    """Sets of candidates: name, size, tokens, and 16-bit sketches of their prefixes under the further orders."""
-    have, src = bloom.value, TaskContext.get().partitionId() << 32
-    for _, tokens, off, sig, rows in _sets(batches, k, 0):
-        c = _bloom_cells(sig[rows], bits)
-        rows = rows[have[c[0]] & have[c[1]]]
-        if not len(rows):
-            continue
+def _in_bloom(have: np.ndarray, sig: np.ndarray, bits: int) -> np.ndarray:
+    ok = np.ones(len(sig), bool)
+    for c in _bloom_cells(sig, bits):
+        ok &= (have[c >> W.U(3)] >> (c & W.U(7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
+def _standing(batches: Iterator[pa.RecordBatch], k: int, have: np.ndarray, bits: int):
+    """(tokens, offsets, signatures, rows) of each slice of rows (text, oid, text_key); rows are those named in the bitmap."""
+    for b, tokens, off, sig, _ in _sets(batches, k, 0, once=False):
+        rows = np.flatnonzero((sig != 0) & _in_bloom(have, row_keys(sig, b.column(1).to_numpy(), b.column(2).to_numpy()), bits))
+        if len(rows):
+            yield tokens, off, sig, rows
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, classes, sent, bits: int) -> Iterator[pa.RecordBatch]:
+    """Of sets in candidates: name, size, 16-bit sketches of their prefixes under the further orders, parity bitmap."""
+    for tokens, off, sig, rows in _standing(batches, k, sent.value, bits):
         n = off[rows + 1] - off[rows]
         cut = np.concatenate([[0], np.cumsum(n)])
         kept = tokens[_spans(off[rows], n)]
@@ -253,9 +298,13 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int,
                 own.append(np.unique((np.partition(x, p[i] - 1)[: p[i]] if p[i] < len(x) else x).astype(np.uint16)).tobytes())
             sketch.append(pa.array(own, pa.binary()))
         odd = [parity(kept[cut[i] : cut[i + 1]]) for i in range(len(rows))]
-        short = (kept >> W.U(16)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(src + np.arange(len(rows)), pa.int64()), pa.array(n, pa.int32()), *sketch, pa.array(odd, pa.binary()), W.binary_column(short, cut)], ["sig", "src", "n", "p2", "p3", "odd", "tokens"])
-        src += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(n, pa.int32()), *sketch, pa.array(odd, pa.binary())], ["sig", "n", "p2", "p3", "odd"])
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch], k: int, sent, bits: int) -> Iterator[pa.RecordBatch]:
+    for tokens, off, sig, rows in _standing(batches, k, sent.value, bits):
+        n = off[rows + 1] - off[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), W.binary_column(tokens[_spans(off[rows], n)], np.concatenate([[0], np.cumsum(n)]))], ["sig", "tokens"])
 
 
 def _meets(x: bytes, y: bytes) -> bool:
@@ -293,21 +342,16 @@ def _prefixes_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _wide(tokens: bytes) -> np.ndarray:
-    out = np.zeros((len(tokens) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFrame:
+def _tile(t: pa.Table, num: int, den: int, cols: int = 4096) -> pa.Table:
     """Of the links in a tile, between its two cells or within its one: for each set a row (set, set, documents
     linked), and edges (set, set, 0) of a spanning forest."""
-    pdf = pdf.drop_duplicates("sig").sort_values("sig")
-    sig, cell = pdf["sig"].to_numpy(), pdf["cell"].to_numpy()
-    sets = [_wide(x) for x in pdf["tokens"]]
-    n = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    names, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, first = np.unique(t.column("sig").to_numpy(), return_index=True)
+    t = t.take(pa.array(first))
+    sig, cell = t.column("sig").to_numpy(), t.column("cell").to_numpy()
+    tokens, n = W.joined_binary(t.column("tokens"), np.uint64)
+    owner = np.repeat(np.arange(len(sig)), n)
+    names, inv, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    del tokens
     shared = np.flatnonzero(count > 1)
     place = np.full(len(names), -1)
     place[shared] = np.arange(len(shared))
@@ -315,24 +359,24 @@ def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFra
     owner, at = owner[at >= 0], at[at >= 0]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(sig), len(sig)), np.float32)
     for lo in range(0, len(shared), cols):
         a, z = np.searchsorted(at, [lo, lo + cols])
-        m = np.zeros((len(sets), cols), np.float32)
+        m = np.zeros((len(sig), cols), np.float32)
         m[owner[a:z], at[a:z] - lo] = 1
         both += m @ m.T
     inter = both.astype(np.int64)
     ok = den * inter >= num * (n[:, None] + n[None, :] - inter)
-    ok &= np.arange(len(sets))[:, None] < np.arange(len(sets))[None, :]
+    ok &= np.arange(len(sig))[:, None] < np.arange(len(sig))[None, :]
     if len(np.unique(cell)) > 1:
         ok &= cell[:, None] != cell[None, :]
-    elif pdf["across"].iloc[0]:
+    elif t.column("across")[0].as_py():
         ok[:] = False
     ok |= ok.T
     linked = np.flatnonzero(ok.any(1))
-    copies = pdf["copies"].to_numpy()
+    copies = t.column("copies").to_numpy()
     out = [(sig[u], sig[u], int(copies[ok[u]].sum())) for u in linked]
-    left = np.ones(len(sets), bool)
+    left = np.ones(len(sig), bool)
     for r in linked:
         todo = [r] if left[r] else []
         left[r] = False
@@ -342,61 +386,77 @@ def _tile(pdf: pd.DataFrame, num: int, den: int, cols: int = 4096) -> pd.DataFra
                 left[v] = False
                 out.append((sig[u], sig[v], 0))
                 todo.append(v)
-    return pd.DataFrame(out, columns=["a", "b", "w"]).astype("int64")
+    return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate("abw")})
 
 
 def _named(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b, _, off, sig, _ in _sets(batches, k, 1, once=False):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(off), pa.int64()), pa.array(sig.view(np.int64))], ["doc_id", "text_key", "n_shingles", "sig"])
+    for b, _, off, sig, _ in _sets(batches, k, 0, once=False):
+        key = row_keys(sig, b.column(1).to_numpy(), b.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column(3), b.column(2), pa.array(np.diff(off), pa.int64()), pa.array(sig.view(np.int64)), pa.array(key.view(np.int64))], ["doc_id", "text_key", "n_shingles", "sig", "row_key"])
 
 
-def _links(docs: DataFrame, copies: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, w): links that hold the components of different sets together, and rows (a, a, w) of linked documents."""
+def _named_in_bitmap(sets: DataFrame, per: DataFrame):
+    """The bitmap of the rows that stand for sets (sig), broadcast, and log2 of its bits."""
+    spark = sets.sparkSession
+    keys = per.join(sets, "sig", "left_semi").select("row_key")
+    bits = int(min(table_bits(spark, 27), max(16, np.ceil(np.log2(16 * keys.count() + 1)))))
+    return spark.sparkContext.broadcast(bloom(keys, bits)), bits
+
+
+def _links(docs: DataFrame, per: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, w): links that hold the components of different sets together, and rows (a, a, w) of linked documents.
+
+    docs are (text, oid, text_key), per (sig, copies, row_key): row_key names the row that stands for the set.
+    """
     spark = docs.sparkSession
     text = docs.select("text")
     classes = spark.sparkContext.broadcast(token_classes(docs, k))
-    buckets = 4 * shuffle_parts(spark)
+    buckets, most = 4 * shuffle_parts(spark), PARTNERS
     posted = text.mapInArrow(memory_returned(lambda it: _postings(it, k, num, den, classes, buckets)), "bucket int, token binary, sig binary, n binary, place binary")
-    cand = stored(posted.repartition("bucket").mapInArrow(memory_returned(lambda it: _candidates(it, num, den)), _CAND).distinct(), "candidates")
-    involved = cand.select("a").union(cand.select("b")).distinct()
-    bits = int(min(27, max(16, np.ceil(np.log2(16 * involved.count() + 1)))))
-    have = np.zeros((1 << bits) // 8, np.uint8)
-    for r in involved.mapInArrow(memory_returned(lambda it: _bloom_part(it, bits)), "bits binary").toLocalIterator():
-        have |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    bloom = spark.sparkContext.broadcast(np.unpackbits(have).astype(bool))
-    # equal sets of several partitions stand here several times; the least src of each counts
-    sets = stored(text.mapInArrow(memory_returned(lambda it: _wanted_sets(it, k, num, den, classes, bloom, bits)), "sig long, src long, n int, p2 binary, p3 binary, odd binary, tokens binary"), "sets")
-    one = sets.select("sig", "src").groupBy("sig").agg(F.min("src").alias("src"))
-    small = stored(sets.select("sig", "src", "n", "p2", "p3", "odd").join(one, ["sig", "src"]), "prefixes")
+    cand = stored(posted.repartition("bucket").mapInArrow(memory_returned(lambda it: _candidates(it, num, den, most)), _CAND).distinct(), "candidates")
+    have, bits = _named_in_bitmap(cand.select(F.col("a").alias("sig")).union(cand.select("b")).distinct(), per)
+    # rows that repeat both id and text stand here several times
+    small = docs.mapInArrow(memory_returned(lambda it: _prefixes(it, k, num, den, classes, have, bits)), "sig long, n int, p2 binary, p3 binary, odd binary")
+    small = stored(small.dropDuplicates(["sig"]), "prefixes")
     odd = lambda n: small.select(F.col("sig").alias(n), F.col("n").alias(f"{n}n"), F.col("odd").alias(f"{n}o"))
     left = cand.where("kind = 0").select("a", "b").join(odd("a"), "a").join(odd("b"), "b").mapInArrow(memory_returned(lambda it: _parities_pass(it, num, den)), "a long, b long")
     side = lambda n: small.select(F.col("sig").alias(n), F.col("p2").alias(f"{n}2"), F.col("p3").alias(f"{n}3"))
     left = left.join(side("a"), "a").join(side("b"), "b").mapInArrow(memory_returned(_prefixes_meet), "a long, b long")
-    blocks = connected_components(left.union(cand.where("kind = 1").select("a", "b")))
-    return _block_links(stored(blocks, "blocks"), small.select("sig", "src", "n").join(copies, "sig"), sets.select("sig", "src", "tokens"), num, den)
+    blocks = stored(connected_components(left.union(cand.where("kind = 1").select("a", "b"))), "blocks")
+    sent, width = _named_in_bitmap(blocks.select(F.col("node").alias("sig")), per)
+    sets = docs.mapInArrow(memory_returned(lambda it: _whole_sets(it, k, sent, width)), "sig long, tokens binary").dropDuplicates(["sig"])
+    return _block_links(blocks, small.select("sig", "n").join(per.select("sig", "copies"), "sig"), sets, num, den)
 
 
 def _block_links(blocks: DataFrame, sizes_of: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Tiles of all blocks. A block of one cell is one tile; a larger one is cut by size into bands, and these into cells.
+
+    Members learn their cells from the table of cut blocks, which has a row for each CELL members at most, so no
+    block's members meet in a task before they are dealt to tiles.
+    """
     step = float(np.log(den / num)) if num < den else 1e-9
-    member = blocks.join(sizes_of.withColumnRenamed("sig", "node"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step) if num < den else F.col("n").cast("long"))
-    # a block of one cell is one tile; only larger ones are cut by size
-    total = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    member = member.join(total, "root").withColumn("band", F.when(F.col("members") > CELL, F.col("band")).otherwise(F.lit(0)))
-    sizes = member.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    band = F.floor(F.log(F.col("n").cast("double")) / step) if num < den else F.col("n").cast("long")
+    member = stored(blocks.join(sizes_of.withColumnRenamed("sig", "node"), "node").select("root", "node", "copies", "n", band.alias("band")), "members")
+    sizes = member.groupBy("root", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
+    large = sizes.groupBy("root").agg(F.sum("sets").alias("all_sets"), F.sum("tokens").alias("all_tokens")).where((F.col("all_sets") > CELL) | (F.col("all_tokens") > 2 * CELL_TOKENS))
+    sizes = stored(sizes.join(large.select("root"), "root").select("root", "band", F.ceil(F.greatest(F.col("sets") / CELL, F.col("tokens") / CELL_TOKENS)).cast("int").alias("cells")), "cells")
     above = sizes.select("root", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
     below = sizes.select("root", (F.col("band") + 1).alias("band"), F.col("cells").alias("below"))
-    member = member.join(sizes, ["root", "band"]).join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-    member = member.withColumn("c", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    cut = stored(sizes.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left"), "cut")
+    few = F.broadcast if cut.count() <= CUT_ROWS else (lambda df: df)
+    whole = member.join(few(cut.select("root").distinct()), "root", "left_anti")
+    one = whole.select("root", F.lit(0).cast("long").alias("g"), F.lit(False).alias("across"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("node").alias("sig"), "copies", F.lit("0").alias("cell"))
+    member = member.join(few(cut), ["root", "band"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     count = lambda n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     tile = lambda g, low, i, j: F.struct(g.alias("g"), F.lit(low).alias("across"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     here = F.transform(count("cells"), lambda x: tile(F.col("band"), False, F.least(x, F.col("c")), F.greatest(x, F.col("c"))))
     up = F.transform(count("above"), lambda x: tile(F.col("band"), True, F.col("c"), x))
     down = F.transform(count("below"), lambda x: tile(F.col("band") - 1, True, x, F.col("c")))
-    dealt = member.select("root", "node", "src", "copies", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
-    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), "src", "copies", F.concat_ws(":", "band", "c").alias("cell"))
+    dealt = member.select("root", "node", "copies", "band", "c", F.explode(F.concat(here, up, down)).alias("t"))
+    dealt = dealt.select("root", "t.*", F.col("node").alias("sig"), "copies", F.concat_ws(":", "band", "c").alias("cell"))
     dealt = dealt.withColumn("across", F.col("across") | (F.col("i") != F.col("j")))
-    whole = dealt.join(sets, ["sig", "src"]).select("root", "g", "across", "i", "j", "sig", "copies", "cell", "tokens")
-    return whole.groupBy("root", "g", "across", "i", "j").applyInPandas(lambda pdf: _tile(pdf, num, den), "a long, b long, w long")
+    tiled = one.unionByName(dealt).join(sets, "sig").select("root", "g", "across", "i", "j", "sig", "copies", "cell", "tokens")
+    return tiled.groupBy("root", "g", "across", "i", "j").applyInArrow(lambda t: _tile(t, num, den), "a long, b long, w long")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -414,9 +474,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """jaccard_join() with a hash of each row's text, text_key, which tells rows of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = stored(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(memory_returned(lambda it: _named(it, k)), "doc_id long, text_key long, n_shingles long, sig long"), "named")
-    per = named.where("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order_id()).alias("least"))
-    links = stored(_links(docs, per.select("sig", "copies"), k, num, den), "links")
+    rows = docs.select("text", order_id().alias("oid"), F.xxhash64("text").alias("text_key"), "doc_id")
+    named = stored(rows.mapInArrow(memory_returned(lambda it: _named(it, k)), "doc_id long, text_key long, n_shingles long, sig long, row_key long"), "named")
+    per = stored(named.where("sig <> 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order_id()).alias("least"), F.min("row_key").alias("row_key")), "sets")
+    links = stored(_links(rows.drop("doc_id"), per, k, num, den), "links")
     comp = connected_components(links.select("a", "b"))
     degree = links.groupBy(F.col("a").alias("sig")).agg(F.sum("w").alias("others"))
     per = per.join(comp.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
