@@ -19,7 +19,7 @@ from nearplane.plans import sweep, theory
 from nearplane.sources import store
 
 N_QUERIES, K, HEAD, GROUP, KEEP, DIM = 20, 10, 48, 4, 50, 64
-SCALE, ZERO, LEVELS, INTERVALS = 0.01, 128.0, 256, 16
+SCALE, ZERO, LEVELS, INTERVALS, SHUFFLE_SEED = 0.01, 128.0, 256, 16, 5
 THEORY_N, THEORY_HEAD, WIDER = 10_000, 60, 8  # rows, head and candidates a neighbour of the theory's bound
 GRID_Y, GRID_DELTA = [-1.0, 0.0, 1.0, 2.0, 3.0], [-2.0, -1.0, 0.0, 1.0]
 SWEEP = [(16, 2, 100), (32, 4, 50), (48, 4, 50), (48, 8, 20)]  # head, group, phase-1 top k
@@ -161,7 +161,7 @@ def _fitted_norms(s, d):
 
 
 def _shuffle(s, d):
-    return evaluate.permutation(base_of(s, d), 5)
+    return evaluate.permutation(base_of(s, d), SHUFFLE_SEED)
 
 
 def _strategies(s, d):
@@ -295,7 +295,7 @@ def queries() -> dict[str, Query]:
         "knn_arrow": lambda s, d: _ranked(search.knn_arrow(base_of(s, d), queries_of(s, d), K), "d2"),
         "strategy_compare": _strategies,
         "sweep": _sweep,
-        "shuffled_truth": lambda s, d: evaluate.unshuffled(evaluate.shuffled(base_of(s, d), _truth(s, d), 5)).select("qid", F.col("rank").cast("long").alias("rank"), "id"),
+        "shuffled_truth": lambda s, d: evaluate.unshuffled(evaluate.shuffled(base_of(s, d), _truth(s, d), SHUFFLE_SEED)).select("qid", F.col("rank").cast("long").alias("rank"), "id"),
     }
 
 
@@ -445,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "strategy_compare": strategies,
         "sweep": " union all ".join(swept(h, g, p, r) for h, g, p in SWEEP for r in ("exact", "quantized")),
         "shuffled_truth": f"{near} select qid, rank, id from top where rank <= {K}",
+        "shuffle_ids": f"{w} select id, row_number() over (order by md5(id || ':{SHUFFLE_SEED}'), id) - 1 new_id from base",
         "dequant_l2": pair(coded),
         "project": f"{turned} select id, unnest(range({DIM}))::int pos, round(unnest(rv), 6) y from tb",
         "project_norms": f"{turned} select id, round({inner(f'rv[1:{HEAD}]', f'rv[1:{HEAD}]')}, 6) head_norm2, round({inner(tail('rv'), tail('rv'))}, 6) tail_norm2 from tb",

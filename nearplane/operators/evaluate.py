@@ -34,7 +34,7 @@ def query_batches(queries: DataFrame, m: int, total: int, batch: int) -> DataFra
 
 def permutation(base: DataFrame, seed: int) -> DataFrame:
     """id, new_id: a seeded uniform order, dense from 0."""
-    key = base.select("id", F.xxhash64("id", F.lit(seed)).alias("h"))
+    key = base.select("id", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))).alias("h"))
     parts = key.repartitionByRange("h", "id").withColumn("p", F.spark_partition_id())
     inner = parts.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("h", "id")))
     first = inner.groupBy("p").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -288,7 +288,8 @@ def check_sizes(groups: int, phase1_topk: int, k: int) -> None:
 def looked_up(cand: DataFrame, rows: DataFrame, bound: int | None) -> DataFrame:
     """cand (qid, id, ...) with the rows of its ids; bound is the most candidates there can be, if that is known."""
     if bound is not None and 32 * bound <= CANDIDATE_BYTES:
-        cand = F.broadcast(cand)
+        # fetched first, as a broadcast must not wait for the whole first phase
+        cand = F.broadcast(cand.sparkSession.createDataFrame(cand.toArrow(), cand.schema))
     return rows.join(cand, "id")
 
 
