@@ -77,13 +77,13 @@ def order_id(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(c.cast("long"), F.lit(LOWEST_ID))
 
 
-def id_bounds(df: DataFrame, parts: int, id_col: str = "doc_id") -> list[int]:
-    """At most parts - 1 ascending cut points that split df into ranges of nearly equal row counts."""
+def id_quantiles(df: DataFrame, parts: int, id_col: str = "doc_id") -> list[int]:
+    """parts - 1 ascending cut points that split df into ranges of nearly equal row counts; one id may be several of them."""
     if parts < 2:
         return []
     cuts = [i / parts for i in range(1, parts)]
     row = df.agg(F.percentile_approx(F.col(id_col).cast("long"), F.lit(cuts), F.lit(max(10_000, 20 * parts))).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    return sorted(row["q"] or [])
 
 
 def id_range(bounds: list[int], id_col: Column) -> Column:

@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
     Each round hangs neighbours on smaller neighbours, first larger ones, then smaller ones, until
-    every edge leads to a root. A round is two joins on node keys whose skew is spread by joining the
-    per-node minimum back instead of gathering neighbour lists; rounds are logarithmic in practice.
+    every edge leads to a root. A round is two joins that bring a node's minimum back to its edges instead of
+    gathering neighbour lists; a hub's edges are one key of such a join, which Spark's adaptive skew join splits,
+    as a shuffle follows it. Rounds are logarithmic in practice.
     Self-loops keep isolated nodes. The table of each round is written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

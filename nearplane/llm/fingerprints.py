@@ -12,10 +12,12 @@ done with, then paragraphs that both have, and only below differing paragraphs a
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearplane.llm._common import id_bounds, id_range, order_id, shuffle_parts
+from nearplane.llm._common import id_quantiles, id_range, order_id, range_of, shuffle_parts
 
 PIECE = 64
 LEAF = 8  # hex digits of a leaf
@@ -90,28 +92,39 @@ def merkle_trees(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", root(F.col("s")).alias("root"), F.transform("s", lambda x: F.sha2(x, 256)).alias("sections"), F.transform(_paragraphs_of(F.col("s")), last).alias("paragraphs"))
 
 
+def ranges(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int]]:
+    """Ascending cut points of doc_id, and how many ranges an id gets that several cut points fall on."""
+    cuts = id_quantiles(docs.select(order_id().alias("oid")), parts, "oid")
+    return sorted(set(cuts)), {c: n for c, n in Counter(cuts).items() if n > 1}
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows doc_id, text with next_text, the text of the next row by doc_id (the first one's after the last).
 
-    Ids are cut into ranges of nearly equal row counts. Each range also gets a copy of the first row behind
-    it, so the next row is always in the same window, and texts are shuffled once.
+    Ids are cut into ranges of nearly equal row counts, and an id with many rows by the hashes of its texts. Each
+    range also gets a copy of the first row behind it, so the next row is always in the same window, and texts are
+    shuffled once. Rows of one id are ordered by the hash of their text; equal rows stay together.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order_id().alias("oid"))
-    bounds = id_bounds(docs, 4 * shuffle_parts(spark))
-    spot = id_range(bounds, F.col("oid"))
-    rows = rows.withColumn("range", spot)
-    # at most one row a range, so as many as there are cut points
-    firsts = [(r["range"], r["oid"]) for r in docs.select(order_id().alias("oid")).withColumn("range", spot).groupBy("range").agg(F.min("oid").alias("oid")).orderBy("range").collect()]
-    guest = {oid: firsts[i - 1][0] for i, (_, oid) in enumerate(firsts)}
-    if not guest:
+    bounds, often = ranges(docs, 4 * shuffle_parts(spark))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), order_id().alias("oid"), F.md5(text).alias("hash"))
+    sub = F.lit(0)
+    for id_, n in often.items():  # at most one for each two cut points
+        own = F.floor(F.conv(F.substring("hash", 1, 4), 16, 10).cast("long") * n / 65536)
+        sub = F.when(F.col("oid") == F.lit(id_), own).when((F.col("oid") > F.lit(id_)) & (id_range(bounds, F.col("oid")) == F.lit(range_of(bounds, id_))), F.lit(n)).otherwise(sub)
+    rows = rows.withColumn("range", id_range(bounds, F.col("oid")) * F.lit(1 << 20).cast("long") + sub)
+    # at most two rows for each cut point
+    least = rows.groupBy("range").agg(F.min("oid").alias("oid")) if not often else rows.groupBy("range").agg(F.min(F.struct("oid", "hash")).alias("m")).select("range", "m.oid", "m.hash")
+    firsts = least.orderBy("range").collect()
+    if not firsts:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    sent = spark.createDataFrame(list(guest.items()), "oid long, to int")
-    lowest = firsts[0][1]
-    wrap = F.col("oid") == F.lit(lowest)
-    guests = rows.join(F.broadcast(sent), "oid").select("doc_id", "text", "oid", F.col("to").alias("range"), wrap.alias("wrapped"), F.lit(True).alias("guest"))
-    both = rows.select("doc_id", "text", "oid", "range", F.lit(False).alias("wrapped"), F.lit(False).alias("guest")).union(guests)
-    by = Window.partitionBy("range").orderBy("wrapped", "oid", "text")
+    guests = [(r["oid"], r["hash"] if often else None, firsts[i - 1]["range"], i == 0) for i, r in enumerate(firsts)]
+    sent = F.broadcast(spark.createDataFrame(guests, "first long, first_hash string, to long, wrapped boolean"))
+    match = (F.col("oid") == F.col("first")) & (F.col("first_hash").isNull() | (F.col("hash") == F.col("first_hash")))
+    copies = rows.join(sent, match).select("doc_id", "text", "oid", "hash", F.col("to").alias("range"), "wrapped", F.lit(True).alias("guest"))
+    both = rows.select("doc_id", "text", "oid", "hash", "range", F.lit(False).alias("wrapped"), F.lit(False).alias("guest")).union(copies)
+    by = Window.partitionBy("range").orderBy("wrapped", "oid", "hash")
     return both.withColumn("next_text", F.lead("text").over(by)).where("not guest").select("doc_id", "text", "next_text")
 
 
@@ -121,8 +134,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 4) characters replaced by the first as many
     (or all) of the next row by doc_id. One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, and edited_sections and edited_paragraphs, the branches of the text
-    that the edited text lacks. A null text counts as empty; rows that repeat an id are ordered by text; a null id
-    sorts first; a lone row is its own next; an empty table gives no rows. Other columns are not read.
+    that the edited text lacks. A null text counts as empty; rows that repeat an id are ordered by the
+    hash of their text; a null id sorts first; a lone row is its own next; an empty table gives no rows. Other columns are not read.
     """
     t = with_next(docs).withColumn("n_chars", F.length("text"))
     cut = F.expr("n_chars div 4").cast("int")
