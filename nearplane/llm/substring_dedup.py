@@ -16,8 +16,8 @@ A window is `width` consecutive words. Each window has an anchor: the smallest h
 
 The merged sketch is what is broadcast: 2 x 2**bits bits, with bits from the corpus size and at most a 32nd of an
 executor's memory for each row (128 MB in all for executors up to 2 GB). Where a corpus outgrows that, more unique
-windows pass the prefilter, up to all of them at some 20 GB of text for each 128 MB; the result stays exact, and
-what is shuffled grows to about 1.4 times the text.
+windows pass the prefilter: by estimate about half at 30 GB of text for each 128 MB, nearly all at 100 GB. The result
+stays exact, and what is shuffled grows to about 1.4 times the text.
 
 Words and windows are known by 64-bit hashes: two given windows that differ are taken for equal with a probability
 of about 2**-64, and only windows of one anchor are compared.
