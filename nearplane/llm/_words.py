@@ -146,6 +146,14 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     return cur
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; by sorting, which is much faster than np.unique() on many different integers."""
+    a = np.sort(a)
+    keep = np.ones(len(a), bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def doc_of(word_off: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(word_off) - 1), np.diff(word_off))
 

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ from nearplane.llm.components import connected_components
 MAX_FREQUENT = 1_000_000
 LOCAL_FREQUENT = 3  # distinct sets of a partition that a token must stand in to be reported
 PARTNERS = 16  # sets of one token and a matching size up to which pairs are listed
-CELL, CELL_TOKENS = 256, 1_000_000  # sets and tokens of a cell of a block
+CELL, CELL_TOKENS = 128, 1_000_000  # sets and tokens of a cell of a block
 CUT_ROWS = 200_000  # rows of the table of cut blocks up to which it is broadcast
 BLOOM_BLOCK = 19  # log2 of the bits of a block of the bitmap
 ORDERS = (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -98,7 +97,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, text: int, once: bool = Tru
         if once:
             _, rows = np.unique(sig, return_index=True)
             rows = rows[(sig[rows] != 0) & ~np.isin(sig[rows], seen)]
-            seen = np.union1d(seen, sig[rows])
+            seen = W.distinct(np.concatenate([seen, sig[rows]]))
         yield b, tokens, off, sig, rows
 
 
@@ -239,7 +238,7 @@ def _bloom_cells(sig: np.ndarray, bits: int) -> list[np.ndarray]:
 def _bloom_part(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the bitmap that a task's sets touch."""
     at = [np.concatenate(_bloom_cells(b.column(0).to_numpy().view(np.uint64), bits)) for b in batches if b.num_rows]
-    cells = np.unique(np.concatenate(at)) if at else np.zeros(0, np.uint64)
+    cells = W.distinct(np.concatenate(at)) if at else np.zeros(0, np.uint64)
     block = (cells >> W.U(BLOOM_BLOCK)).astype(np.int64)
     names, first = np.unique(block, return_index=True)
     inner = (cells & W.U((1 << BLOOM_BLOCK) - 1)).astype(np.uint32)
@@ -295,7 +294,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, cla
             own = []
             for i in range(len(rows)):
                 x = rank[cut[i] : cut[i + 1]]
-                own.append(np.unique((np.partition(x, p[i] - 1)[: p[i]] if p[i] < len(x) else x).astype(np.uint16)).tobytes())
+                own.append(W.distinct((np.partition(x, p[i] - 1)[: p[i]] if p[i] < len(x) else x).astype(np.uint16)).tobytes())
             sketch.append(pa.array(own, pa.binary()))
         odd = [parity(kept[cut[i] : cut[i + 1]]) for i in range(len(rows))]
         yield pa.RecordBatch.from_arrays([pa.array(sig[rows].view(np.int64)), pa.array(n, pa.int32()), *sketch, pa.array(odd, pa.binary())], ["sig", "n", "p2", "p3", "odd"])

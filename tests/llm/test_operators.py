@@ -4,12 +4,13 @@ import hashlib
 import re
 import textwrap
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearplane.llm import components, decontamination, fingerprints, jaccard_join, language_id, license_scan, secret_scan, source_mixing, substring_dedup, token_output, toxicity
+from nearplane.llm import _common, components, decontamination, fingerprints, jaccard_join, language_id, license_scan, secret_scan, source_mixing, substring_dedup, token_output, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string"  # start clashes with inner names
 rng = np.random.default_rng(5)
@@ -80,9 +81,13 @@ def test_one_per_group_repeated_ids(spark):
     assert {tuple(r) for r in kept} == {(3, BASE), (7, other)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     e = spark.createDataFrame([(5, 6), (6, 7), (7, 1), (9, 9), (10, 12), (12, 11)], "a long, b long")
     assert {tuple(r) for r in components.connected_components(e).collect()} == {(1, 1), (5, 1), (6, 1), (7, 1), (9, 9), (10, 10), (11, 10), (12, 10)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(30)}
 
 
 def distance_inside(item, text):
@@ -245,3 +250,18 @@ def test_source_mixing(docs, empty):
     assert all(r["taken_tokens"] <= 2 * r["n_tokens"] and r["copies"] <= 2 for r in rows)
     assert source_mixing.mixture(docs, {}, 2.0, 2).count() == 2 * sum(bool(words(t)) for _, t in ROWS)
     assert source_mixing.mix_sources(empty, {}).count() == 0
+
+
+@pytest.mark.parametrize(("master", "named"), [("yarn", None), ("local-cluster[3,2,1000]", None), ("spark://host:7077", None), ("yarn", "s3a://bucket/x/")])
+def test_a_cluster_needs_a_shared_folder(master, named):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    if named:
+        assert _common.shared_dir(session) == "s3a://bucket/x"
+    else:
+        with pytest.raises(ValueError):
+            _common.shared_dir(session)
+
+
+def test_bits_of_a_bitmap_follow_the_memory_of_executors():
+    bits = lambda memory: _common.table_bits(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: memory or default)))
+    assert [bits(m) for m in (None, "1800m", "16g", "64G", "odd")] == [29, 29, 32, 34, 29]
