@@ -11,7 +11,7 @@ hinge loss. A text scores by its worst strings, calibrated on training documents
 A string of two or three letters has a kernel of lower order: of all its letters and the start symbol, so
 it is like an equal string only. Stems are added until no further one explains two toxic documents.
 
-Every distinct string of a text is scored by its features; a bounded memo spares strings that a task has
+Every distinct string of a text is scored by its features; a bounded memo spares strings that a Python worker has
 scored before. The bounds on what training looks at are the constants `TRAIN_*` and `FIT_*`.
 """
 
@@ -44,7 +44,8 @@ TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000  # bound of the labelled sample, in docume
 FIT_TOXIC, FIT_NEAR, FIT_PLAIN = 6000, 12000, 6000  # bound of the SVM's examples: strings with a stem, near one, and others
 SHARE = 0.8  # of a stem that a string has in order, to be an example near it
 TOP = 3  # a text scores by its worst strings
-MEMO = 400_000  # strings whose values a task remembers
+DECIDE_ROWS = 1 << 15  # strings whose features stand in memory at once
+MEMO = 1_000_000  # strings whose values a Python worker remembers, 12 bytes each
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -156,7 +157,7 @@ def _kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Gate:
-    """Landmarks packed into 64-bit words, a spare bit after each, for a common-subsequence test."""
+    """Stems packed into 64-bit words, a spare bit after each, for a common-subsequence test that finds examples near them."""
 
     masks: np.ndarray  # (packs, 256)
     fields: list[tuple[int, int, int]]  # pack, bits, letters needed
@@ -221,6 +222,7 @@ class Model:
     def __post_init__(self):
         self.rows = as_rows(self.landmarks, LAND_WIDTH)
         self.norm = np.sqrt(self_kernel(self.rows))
+        self.memo = Memo()  # lives as long as the broadcast model in a Python worker
 
     def features(self, x: np.ndarray) -> np.ndarray:
         out = (kernel(x, self.rows) / np.maximum(self.norm[:, None] * np.sqrt(self_kernel(x))[None, :], 1e-12)).T
@@ -228,15 +230,16 @@ class Model:
 
     def decide(self, x: np.ndarray) -> np.ndarray:
         """The SVM's value of each string."""
-        if not len(x) or not len(self.landmarks):
-            return np.full(len(x), self.bias, np.float32)
-        return (self.features(x) @ self.weights + self.bias).astype(np.float32)
+        out = np.full(len(x), self.bias, np.float32)
+        for lo in range(0, len(x) if len(self.landmarks) else 0, DECIDE_ROWS):
+            out[lo : lo + DECIDE_ROWS] = self.features(x[lo : lo + DECIDE_ROWS]) @ self.weights + self.bias
+        return out
 
-    def score(self, col: pa.Array, memo: Memo | None = None) -> np.ndarray:
+    def score(self, col: pa.Array) -> np.ndarray:
         names, x, inv, doc = strings(col)
-        value = self.decide(x) if memo is None else memo.values(self, names, x)
+        value = self.memo.values(self, names, x)
         some = np.flatnonzero(value[inv] > self.bias)
-        pair = np.unique(doc[some] * max(1, len(x)) + inv[some])
+        pair = W.distinct(doc[some] * max(1, len(x)) + inv[some])
         return self.calibrated(highest(pair // max(1, len(x)), value[pair % max(1, len(x))], len(col), self.bias))
 
     def calibrated(self, top: np.ndarray) -> np.ndarray:
@@ -278,7 +281,7 @@ def highest(doc: np.ndarray, value: np.ndarray, n: int, floor: float) -> np.ndar
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in W.slices(batches, TEXT_SLICE, "text"):
         _, x, inv, doc = strings(b.column(1))
-        pair = np.unique(doc * max(1, len(x)) + inv)
+        pair = W.distinct(doc * max(1, len(x)) + inv)
         cut = np.searchsorted(pair, np.arange(b.num_rows + 1) * max(1, len(x)))
         yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), W.binary_column(x[pair % max(1, len(x))].reshape(-1), cut * ROW)], ["doc_id", "toxic", "strings"])
 
@@ -306,7 +309,7 @@ def _stems(x: np.ndarray, string: np.ndarray, doc: np.ndarray, label: np.ndarray
         of = np.full(len(x), -1)
         of[whole] = inv
         ok = of[string] >= 0
-        pair = np.unique(of[string[ok]] * len(label) + doc[ok])
+        pair = W.distinct(of[string[ok]] * len(label) + doc[ok])
         gram, where = pair // len(label), pair % len(label)
         toxic = np.bincount(gram, label[where], len(names))
         clean = np.bincount(gram, 1 - label[where], len(names))
@@ -357,14 +360,16 @@ def distinct(every: np.ndarray, step: int = 1 << 17) -> tuple[np.ndarray, np.nda
 
 
 def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
-    """From (label, rows of distinct strings) of training documents."""
+    """From (label, rows of distinct strings) of training documents; takes the list's contents."""
     rng = np.random.default_rng(seed)
     label = np.array([int(y) for y, _ in bags], np.int64)
     none = Model([], [], [], np.zeros(0), -1.0, np.array([0.0] * TOP + [-4.0]))
     if not label.any():
         return none
-    every = np.ascontiguousarray(np.concatenate([x for _, x in bags]))
-    doc = np.repeat(np.arange(len(bags)), [len(x) for _, x in bags])
+    n = len(bags)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for _, x in bags])
+    every = np.concatenate([x for _, x in bags])
+    bags.clear()
     x, string = distinct(every)
     del every
     stems = _stems(x, string, doc, label)
@@ -387,7 +392,7 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     plain = np.flatnonzero(~passed & (cc > 0))
     plain = plain[rng.permutation(len(plain))[:FIT_PLAIN]]
     marks = list(dict.fromkeys([*stems, *toxic_marks, *mark(clean)]))
-    model = Model(stems, toxic_marks, marks, np.zeros(len(marks)), -1.0, np.zeros(TOP + 1))
+    model = Model(stems, toxic_marks, marks, np.zeros(len(marks)), -1.0, np.zeros(TOP + 1))  # weights follow; nothing is scored before
     f = model.features(np.concatenate([x[toxic], x[clean], x[plain]])).astype(np.float64)
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean) + len(plain))])
     nt, nc = max(1, label.sum()), max(1, (1 - label).sum())
@@ -401,7 +406,7 @@ def fit(bags: list[tuple[int, np.ndarray]], seed: int = 11) -> Model:
     model.weights, model.bias = root @ w[:-1], float(w[-1])
     value = model.decide(x)
     live = value[string] > model.bias
-    top = highest(doc[live], value[string[live]], len(bags), model.bias)
+    top = highest(doc[live], value[string[live]], n, model.bias)
     model.calibration = _logistic(top, label)
     return model
 
@@ -426,7 +431,9 @@ def _fit_task(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Recor
         for d, y, s in zip(ids, labels, np.split(data, np.cumsum(size)[:-1]), strict=True):
             rows.append((d, y, zlib.crc32(s), s.reshape(-1, ROW)))
     rows.sort(key=lambda r: r[:3])
-    model = fit([(y, s) for _, y, _, s in rows], seed)
+    bags = [(y, s) for _, y, _, s in rows]
+    rows.clear()
+    model = fit(bags, seed)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
@@ -435,7 +442,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     lab = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     part = lambda y, n: lab.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(n)
-    some = F.broadcast(part(1, TRAIN_TOXIC).union(part(0, TRAIN_CLEAN)).select("doc_id", "toxic"))  # bounded above
+    some = part(1, TRAIN_TOXIC).union(part(0, TRAIN_CLEAN)).select("doc_id", "toxic").collect()  # bounded above
+    some = F.broadcast(docs.sparkSession.createDataFrame(some, "doc_id long, toxic int"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = text.join(some, "doc_id").select("toxic", "text", "doc_id").mapInArrow(memory_returned(_bags), "doc_id long, toxic int, strings binary")
     # the sample is bounded, so one task can hold it; the driver only gets the model
@@ -444,9 +452,9 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m, memo = model.value, Memo()
+    m = model.value
     for b in W.slices(batches, TEXT_SLICE):
-        score = m.score(b.column(1), memo)
+        score = m.score(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
 
@@ -462,9 +470,9 @@ def score_toxicity(docs: DataFrame, model: Model, held: Column | None = None) ->
 
 
 def _passing(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
-    m, memo = model.value, Memo()
+    m = model.value
     for b in W.slices(batches, TEXT_SLICE):
-        yield b.filter(pa.array(m.score(b.column(text), memo) < 0.5))
+        yield b.filter(pa.array(m.score(b.column(text)) < 0.5))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
