@@ -1,7 +1,8 @@
 """Token-id output: Re-Pair compressed shards with random access.
 
 Documents are range-partitioned and sorted by doc_id; each task encodes its texts and writes shards of at
-most about `SHARD_TOKENS` ids. In a shard, rounds of Re-Pair replace frequent id pairs by nonterminals; no
+most about `SHARD_TOKENS` ids. In a shard, rounds of Re-Pair replace frequent id pairs by nonterminals until
+no pair pays for its rule or the symbols run out (65,536 for a vocabulary below that); no
 pair spans two documents, so every document starts at a symbol, whose place the shard lists. Rules and
 their expansion lengths are stored, so one document decodes without its neighbours.
 
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearplane.llm import _words as W
-from nearplane.llm._common import TEXT_SLICE, order_id, shared_dir, shuffle_parts, stored
+from nearplane.llm._common import TEXT_SLICE, memory_returned, order_id, shared_dir, shuffle_parts, stored
 
 END_ID = 0
-SHARD_TOKENS = 4_000_000
-ROUNDS = 4
-PAIRS_A_ROUND = 2048
-MIN_COUNT = 24
-CACHE_UNITS = 2_000_000
+SHARD_TOKENS = 2_000_000
+PAIRS_A_ROUND = 3072
+MIN_COUNT = 5  # a rule takes eight bytes and each use of it saves two
+LEAST_GAIN = 1e-2  # of the symbols; a round that saves less is the last
+CACHE_UNITS = 1_000_000
+SLOT_BITS, PROBES = 22, 8  # of the table that finds them
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:] = True
 _VISIBLE[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # may begin a Unicode space
@@ -56,8 +58,49 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+class _Units:
+    """Where the ids of known units stand: an open hash table of places, looked up for many units at once."""
+
+    def __init__(self) -> None:
+        self.table = np.full((1 << SLOT_BITS) + PROBES, -1, np.int32)
+        self.hashes, self.first, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each unit, -1 where it is not known."""
+        slot = (h >> W.U(64 - SLOT_BITS)).astype(np.int64)
+        out = self.table[slot]
+        left = np.flatnonzero((out >= 0) & (self.hashes[out] != h))
+        for k in range(1, PROBES):
+            if not len(left):
+                return out
+            out[left] = self.table[slot[left] + k]
+            left = left[(out[left] >= 0) & (self.hashes[out[left]] != h[left])]
+        out[left] = -1
+        return out
+
+    def add(self, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> int:
+        """Add unknown, distinct units; their places start at the number given back. A unit without a free slot is not found later."""
+        start, end = self.n, self.n + len(h)
+        if end > len(self.hashes):
+            more = lambda x: np.concatenate([x[:start], np.zeros(end - start + end // 2, x.dtype)])
+            self.hashes, self.first, self.size = more(self.hashes), more(self.first), more(self.size)
+        self.hashes[start:end], self.first[start:end], self.size[start:end] = h, first, size
+        self.n = end
+        slot, left = (h >> W.U(64 - SLOT_BITS)).astype(np.int64), np.arange(len(h))
+        for k in range(PROBES):
+            free = left[self.table[slot[left] + k] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            self.table[slot[free[one]] + k] = start + free[one]
+            left = left[self.table[slot[left] + k] != start + left]
+        return start
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own, through a bounded cache of units."""
+    """Ids of whole texts, equal to the tokenizer's own, through a bounded cache of units.
+
+    When the cache is full, only units met since the last time stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,8 +111,31 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.units, self.met = _Units(), np.zeros(CACHE_UNITS, bool)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _make_room(self, more: int) -> None:
+        if self.units.n + more <= CACHE_UNITS:
+            return
+        old, kept = self.units, np.flatnonzero(self.met[: self.units.n])
+        ids = self.ids
+        self.clear()
+        if len(kept) + more > CACHE_UNITS // 2:
+            return
+        size = old.size[kept].astype(np.int64)
+        self.ids = ids[spans(old.first[kept].astype(np.int64), size)]
+        self.used = len(self.ids)
+        self.units.add(old.hashes[kept], np.cumsum(size) - size, size)
+
+    def _learn(self, names: np.ndarray, units: list[str]) -> int:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.units.add(names, self.used - len(flat) + np.cumsum(size) - size, size)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
@@ -87,43 +153,45 @@ class Encoder:
         cut[off[:-1][off[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        names, at, inv = np.unique(W.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(names) > CACHE_UNITS:
-            self.clear()
-        place = np.minimum(np.searchsorted(self.hashes, names), max(0, len(self.hashes) - 1))
-        new = self.hashes[place] != names if len(self.hashes) else np.ones(len(names), bool)
-        if new.any():
-            units = [raw[a:z].decode() for a, z in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
-            hashes = np.concatenate([self.hashes, names[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            self.hashes, self.ids = hashes[order], np.concatenate([self.ids, flat])
-        place = np.searchsorted(self.hashes, names)[inv]
-        size = self.size[place]
-        total = np.concatenate([[0], np.cumsum(size)])
+        h = W.word_hashes(buf, starts, ends)
+        place = self.units.find(h)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            names, at, inv = np.unique(h[unknown], return_index=True, return_inverse=True)
+            if self.units.n + len(names) > CACHE_UNITS:
+                self._make_room(len(names))
+                place = self.units.find(h)  # places have changed
+                unknown = np.flatnonzero(place < 0)
+                names, at, inv = np.unique(h[unknown], return_index=True, return_inverse=True)
+            at = unknown[at]
+            new = self._learn(names, [raw[a:z].decode() for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            place[unknown] = new + inv
+        self.met[place[place < CACHE_UNITS]] = True
+        each = self.units.size[place].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(each)])
         edge = total[np.searchsorted(starts, off)]
-        return self.ids[spans(self.first[place], size)], np.diff(edge)
+        return self.ids[spans(self.units.first[place].astype(np.int64), each)], np.diff(edge)
 
 
 def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, their last flags, rules): rule k is nonterminal vocab + k. last marks ends of documents."""
+    """(symbols, their last flags, rules): rule k is nonterminal vocab + k. last marks ends of documents.
+
+    Rounds replace the most frequent pairs until no pair is frequent enough to pay for its rule, the symbols
+    of the width run out, or a round hardly saves anything.
+    """
     small = vocab < 1 << 16  # then symbols stay under 2**16 and a pair fits 32 bits
     kind, shift, mask = (np.uint32, np.uint32(16), np.uint32(0xFFFF)) if small else (np.uint64, np.uint64(32), np.uint64(0xFFFFFFFF))
     seq, rules = ids.astype(kind), []
     room = (1 << 16) - vocab if small else 1 << 20
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or room <= 0:
-            break
+    spot = lambda x: (x * kind(0x9E3779B1)) >> kind(kind(0).itemsize * 8 - 20)
+    none, across = np.int16(-1), kind(np.iinfo(kind).max)  # a pair over an end of a document is no pair
+    while len(seq) > 1 and room > 0:
         key = seq[:-1] << shift | seq[1:]
-        whole = ~last[:-1]
-        ordered = key[whole]
+        key[last[:-1]] = across
+        ordered = np.sort(key)
+        ordered = ordered[: np.searchsorted(ordered, across)]
         if not len(ordered):
             break
-        ordered.sort()
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(count >= MIN_COUNT)
@@ -131,19 +199,22 @@ def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, n
             break
         often = often[np.argsort(-count[often], kind="stable")][: min(PAIRS_A_ROUND, room)]
         pairs = ordered[first[often]]
-        by_key = np.argsort(pairs)
-        spot = lambda x: (x * kind(0x9E3779B1)) >> kind(kind(0).itemsize * 8 - 20)  # noqa: E731, B023
-        maybe = np.zeros(1 << 20, bool)  # most pairs are ruled out by one look-up
-        maybe[spot(pairs)] = True
-        at = np.flatnonzero(maybe[spot(key)] & whole)
-        some = key[at]
-        place = np.minimum(np.searchsorted(pairs[by_key], some), len(pairs) - 1)
-        hit = pairs[by_key][place] == some
-        none = len(pairs)
-        rank = np.full(len(seq) + 1, none, np.int32)
-        rank[at[hit] + 1] = by_key[place[hit]]
-        won = np.flatnonzero((rank[1:-1] < none) & (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
-        got = rank[won + 1]
+        pairs = pairs[np.sort(np.unique(spot(pairs), return_index=True)[1])]  # of those with one slot the most frequent; the others' turn comes
+        table = np.full(1 << 20, none)
+        table[spot(pairs)] = np.arange(len(pairs))
+        found = table[spot(key)]
+        at = np.flatnonzero(found >= 0)
+        got = found[at].astype(np.int32)
+        hit = pairs[got] == key[at]
+        won, got = at[hit], got[hit]
+        # of overlapping pairs the more frequent wins, and in a run of one pair every second place
+        near = np.flatnonzero(np.diff(won) == 1)
+        before, after = np.full(len(won), len(pairs)), np.full(len(won), len(pairs))
+        before[near + 1], after[near] = got[near], got[near + 1]
+        run = np.arange(len(won))
+        run -= np.maximum.accumulate(np.where(before == got, 0, run))
+        wins = (run & 1 == 0) & ((run > 0) | (got < before)) & (got <= after)
+        won, got = won[wins], got[wins]
         used, number = np.unique(got, return_inverse=True)
         seq[won] = vocab + len(rules) + number
         rules += [(p >> int(shift), p & int(mask)) for p in pairs[used].tolist()]
@@ -153,6 +224,8 @@ def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, n
         last = last.copy()
         last[won] = last[won + 1]
         seq, last = seq[keep], last[keep]
+        if len(won) < LEAST_GAIN * len(keep):
+            break
     return seq, last, np.array(rules, np.int64).reshape(-1, 2)
 
 
@@ -262,7 +335,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out: str) -> None:
     """Encode and write docs in ascending doc_id order (null first; repeated ids side by side) as shards under out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = rows.repartitionByRange(2 * shuffle_parts(docs.sparkSession), order_id(), F.xxhash64("text")).sortWithinPartitions(order_id(), F.xxhash64("text"))
-    parts.mapInArrow(lambda it: _shards(it, tokenizer_path), _SHARD).write.parquet(out)
+    parts.mapInArrow(memory_returned(lambda it: _shards(it, tokenizer_path)), _SHARD).write.parquet(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +353,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     """One row per document of a shard table: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one small row per shard
     base = stored(shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")), "bases")
-    return shards.join(base, ["part", "seq"]).select("base", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(base, ["part", "seq"]).select("base", "payload").mapInArrow(memory_returned(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
