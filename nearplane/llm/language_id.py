@@ -2,8 +2,8 @@
 
 The text, lower-cased with everything but letters reduced to single spaces, is compressed once per
 language with that language's dictionary; the smallest size wins, and a decision with a narrow margin is
-flagged as rejected. Training keeps at most `SAMPLE_DOCS` documents
-per language, the ones with the smallest seeded hashes, and `DICT_BYTES` bytes of their whole texts.
+flagged as rejected. Training reads at most `SAMPLE_DOCS` documents per language, those with the smallest
+seeded hashes, and of these, in that order, the first `DICT_BYTES` characters in all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from nearplane.llm._common import memory_returned
 
 SAMPLE_DOCS = 96
 DICT_BYTES = 96 << 10
-MAX_TRAIN_CHARS = 20_000  # longer documents give no training text
 MARGIN = 0.01  # of the second smallest size; below it the decision is flagged
 LEVEL = 3
 SCALE = 4.0  # bytes of difference that change the odds by a factor e
@@ -34,25 +33,29 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def train_dictionaries(labelled: DataFrame, seed: int = 7) -> dict[str, bytes]:
-    """lang -> dictionary content from rows (doc_id, text, lang)."""
-    rows = labelled.where("lang is not null and length(text) > 0").where(F.length("text") <= MAX_TRAIN_CHARS)
-    keyed = rows.select("lang", "doc_id", F.xxhash64("doc_id", "lang", F.lit(seed)).alias("h"))
-    # the window keeps SAMPLE_DOCS rows per language and partition before its exchange
-    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE_DOCS)
-    chosen = F.broadcast(first.select("lang", "doc_id", "r"))  # SAMPLE_DOCS small rows per language
-    texts: dict[str, dict[int, str]] = {}
-    for r in rows.join(chosen, ["lang", "doc_id"]).select("lang", "r", "text").toLocalIterator():
-        texts.setdefault(r["lang"], {})[r["r"]] = r["text"]
-    out = {}
-    for lang, by_rank in texts.items():
-        held, size = [], 0
-        for k in sorted(by_rank):
-            data = letters_only(by_rank[k]).encode()
-            if size + len(data) <= DICT_BYTES:
-                held.append(data)
-                size += len(data)
-        out[lang] = b"\n".join(held or [letters_only(next(iter(by_rank.values()))).encode()[:DICT_BYTES]])
-    return out
+    """lang -> dictionary content from rows (doc_id, text, lang).
+
+    Rows with a null lang, or a null or empty text, teach nothing. Rows are told apart by doc_id and text, so repeats
+    count once; ties of the hash go by id, then text. A language of long texts only is learned from their beginnings.
+    The driver gets DICT_BYTES characters a language.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where("lang is not null and length(text) > 0").select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("th"), "text")
+    keys = rows.select("lang", "id", "th", F.length("text").alias("n"), F.xxhash64("id", "lang", F.lit(seed)).alias("h"))
+    # hashes spread evenly, so the smallest SAMPLE_DOCS of a language are under a bound that few others are under
+    many = keys.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("id", "th")).alias("docs")).collect()  # a row a language
+    bound = F.lit(8.0 * SAMPLE_DOCS) / F.col("docs") * float(1 << 63)
+    keys = keys.join(F.broadcast(spark.createDataFrame(many, "lang string, docs long")), "lang").where(F.shiftrightunsigned("h", 1).cast("double") <= bound).select("lang", "id", "th", "n", F.shiftrightunsigned("h", 1).alias("h")).distinct()
+    order = Window.partitionBy("lang").orderBy("h", "id", "th")
+    first = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("room", F.lit(DICT_BYTES) - before).where("room > 0").select("lang", "id", "th", "r", "room").collect()  # SAMPLE_DOCS small rows per language
+    found = rows.join(F.broadcast(spark.createDataFrame(chosen, "lang string, id string, th long, r int, room long")), ["lang", "id", "th"])
+    texts = found.groupBy("lang", "r").agg(F.min(F.expr("substring(text, 1, room)")).alias("text")).collect()
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(texts, key=lambda r: (r["lang"], r["r"])):
+        out.setdefault(r["lang"], []).append(letters_only(r["text"]).encode())
+    return {lang: b"\n".join(held)[:DICT_BYTES] for lang, held in out.items()}
 
 
 _OTHER = re.compile(r"[\W\d_]+")
