@@ -170,12 +170,13 @@ def _strategies(s, d):
     n = base.count()
     asked = queries.select("qid", "q")
 
-    def found(ids):
-        scores = search.pair_scores(ids.select("id", F.slice("v", 1, HEAD).alias("v")), queries.select("qid", F.slice("q", 1, HEAD).alias("q")))
-        best = topk.top_k(topk.group_min(scores, topk.even_sections(n, n // GROUP)), KEEP).select("qid", "id", "score")
-        return best.join(ids.select("id", "v", "own"), "id").join(asked, "qid")
+    def found(place):
+        # several rows may share a place; the row that is kept is known by its own id
+        scores = search.pair_scores(base.select("id", F.slice("v", 1, HEAD).alias("v")), queries.select("qid", F.slice("q", 1, HEAD).alias("q")))
+        placed = scores.select("qid", place.alias("id"), F.col("id").alias("own"), "score")
+        best = topk.top_k(topk.group_min(placed, topk.even_sections(n, n // GROUP), "own"), KEEP).select("qid", "id", "own", "score")
+        return best.join(base.select(F.col("id").alias("own"), "v"), "own").join(asked, "qid")
 
-    plain, mixed = base.withColumn("own", F.col("id")), base.select(((F.col("id") * 7 + 3) % n).alias("id"), "v", F.col("id").alias("own"))
     rest = lambda c: F.slice(c, HEAD + 1, DIM - HEAD)
     v, q = rest("v"), rest("q")
     forms = {
@@ -188,9 +189,9 @@ def _strategies(s, d):
         "round": F.col("score") + Q.comp_round(q, v, INTERVALS),
         "codes": Q.comp_codes(Q.affine_quantize(F.col("v"), SCALE, ZERO, LEVELS), F.col("q"), SCALE, ZERO, LEVELS),
     }
-    cand = found(plain)
+    cand = found(F.col("id"))
     tagged = lambda df, name: df.select(F.lit(name).alias("strategy"), "qid", F.col("rank").cast("long").alias("rank"), F.col("own").alias("id"))
-    out = tagged(topk.top_k(found(mixed).select("qid", "id", "own", forms["exact"].alias("score")), K), "shuffled")
+    out = tagged(topk.top_k(found((F.col("id") * 7 + 3) % n).select("qid", "id", "own", forms["exact"].alias("score")), K), "shuffled")
     for name, form in forms.items():
         # rounded, as equal codes give equal scores
         out = out.union(tagged(topk.top_k(cand.select("qid", "id", "own", _r(form, 9).alias("score")), K), name))

@@ -249,6 +249,14 @@ def phase1(base: DataFrame, queries: DataFrame, rotation: np.ndarray | None, d:
     return top_k(parts, keep).select("qid", "id", "score")
 
 
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products along the last axis, summed in its order as SQL does; a matrix product's last bits change with the size of a tile."""
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for j in range(a.shape[-1]):
+        out += a[..., j] * b[..., j]
+    return out
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], sent, dim: int) -> Iterator[pa.RecordBatch]:
     qid, q, rotation = sent.value
     for b in batches:
@@ -256,12 +264,15 @@ def _pairs(batches: Iterator[pa.RecordBatch], sent, dim: int) -> Iterator[pa.Rec
         ids = b.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
         x = x @ rotation if rotation is not None else x[:, : q.shape[1]]
         for s in tiles(len(ids), len(q)):
-            score = (x[s] * x[s]).sum(1)[None, :] - 2 * (q @ x[s].T)
+            score = _summed(x[s], x[s])[None, :] - 2.0 * _summed(q[:, None, :], x[None, s, :])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, score.shape[1])), pa.array(np.tile(ids[s], len(q))), pa.array(score.ravel())], ["qid", "id", "score"])
 
 
 def pair_scores(base: DataFrame, queries: DataFrame, rotation: np.ndarray | None = None, d: int | None = None) -> DataFrame:
-    """qid, id, score of every pair by matrix products: squared norm of the row less twice the product, on d coordinates."""
+    """qid, id, score of every pair: squared norm of the row less twice the product, on d coordinates.
+
+    Products are summed in order, so without a rotation equal rows have equal scores wherever they lie.
+    """
     spark, asked = base.sparkSession, asked_of(queries)
     if asked.q is None:
         raise ValueError("all pairs are only listed for a set of queries that can be broadcast")

@@ -12,10 +12,10 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def group_min(scores: DataFrame, group: Column) -> DataFrame:
-    """The least (score, id) of each query and group: qid, grp, score, id."""
-    best = F.min(F.struct("score", "id")).alias("m")
-    return scores.groupBy("qid", group.cast("long").alias("grp")).agg(best).select("qid", "grp", "m.score", "m.id")
+def group_min(scores: DataFrame, group: Column, *more: str) -> DataFrame:
+    """The least (score, id, *more) of each query and group: qid, grp, score, id, *more."""
+    best = F.min(F.struct("score", "id", *more)).alias("m")
+    return scores.groupBy("qid", group.cast("long").alias("grp")).agg(best).select("qid", "grp", "m.*")
 
 
 def fixed_groups(size: int) -> Column:

@@ -55,6 +55,26 @@ def test_bad_parameters(data):
         search.search(*data, None, 6, 50, 1, 10)
 
 
+def test_pair_scores_are_summed_in_order(data):
+    # to the last bit, so equal rows tie whatever tile they are in
+    pairs = search.all_pairs(*data).select("qid", "id", (V.norm_squared(F.col("v")) - 2.0 * V.inner_product(F.col("q"), F.col("v"))).alias("want"))
+    both = search.pair_scores(*data).join(pairs, ["qid", "id"])
+    assert both.count() == 450 and both.where("score <> want").count() == 0
+
+
+def test_strategies_equal_sql_where_rows_share_a_place(spark, tmp_path):
+    # 280 rows: seven are sent to each place of the shuffled order; each vector stands twice
+    duckdb = pytest.importorskip("duckdb")
+    v = RNG.normal(size=(150, catalog.DIM)).astype(np.float32).tolist()
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame([(i, v[i % 150]) for i in range(300)], "vec_id long, embedding array<float>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as from '{path}/*.parquet'")
+    want = con.sql("select strategy, qid, rank, id from (" + catalog.oracle_sql()["strategy_compare"] + ")").fetchall()
+    got = catalog.queries()["strategy_compare"](spark, str(tmp_path)).select("strategy", "qid", "rank", "id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_grouping_rules(spark):
     s = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate([5, 1, 1, 7, 3, 2, 9, 0, 4, 4])], "qid long, id long, score double")
     got = {r["grp"]: r["id"] for r in topk.group_min(s, topk.fixed_groups(4)).collect()}
