@@ -50,6 +50,9 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _PUNCT = _ASCII & ~_LETTER & ~_DIGIT
+_KINDS = (np.arange(256) == 0x20) | _VISIBLE * 2 | _LETTER * 4 | _PUNCT * 8 | _ASCII * 16 | (np.arange(256) == 0x0A) * 32  # bits of a byte, as cuts ask for them
+_KINDS = _KINDS.astype(np.uint8).tobytes()
+JOINED = 64  # unknown units in one call of the tokenizer
 SPECIAL = b"<|endoftext|>"
 _HEAD = struct.Struct("<4s5I")
 
@@ -58,6 +61,23 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def unit_hashes(buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """W.word_hashes() of spans that follow each other, from edge to edge."""
+    out = np.empty(len(edges) - 1, np.uint64)
+    at = 0
+    while at < len(out):
+        to = min(len(out), max(at + 1, int(np.searchsorted(edges, edges[at] + W.BLOCK))))
+        lo, hi = edges[at], edges[to]
+        up, down = W.powers(W._BASE, hi - lo + 1)
+        sums = np.empty(hi - lo + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(W.CODES[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
+        e = edges[at : to + 1] - lo
+        out[at:to] = W.mix(np.diff(sums[e]) * down[e[:-1]] + np.diff(e).astype(np.uint64) * W.U(0x2545F4914F6CDD1D))
+        at = to
+    return out
+
+
 class _Units:
     """Where the ids of known units stand: an open hash table of places, looked up for many units at once."""
 
@@ -108,6 +128,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.width[list(names.values())] = [len(x) for x in names]  # bytes of an id, as a byte-level token has a letter for each
         self.clear()
 
     def clear(self) -> None:
@@ -127,10 +150,27 @@ class Encoder:
         self.used = len(self.ids)
         self.units.add(old.hashes[kept], np.cumsum(size) - size, size)
 
-    def _learn(self, names: np.ndarray, units: list[str]) -> int:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(size.sum())), size
+
+    def _joined_ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """_ids() of units that may follow any other, many in a call; widths of ids tell where a unit ends."""
+        flat, _ = self._ids([b"".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)])
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        done = np.cumsum(self.width[flat])
+        at = np.searchsorted(done, ends)
+        if len(done) != at[-1] + 1 or (done[at] != ends).any():  # not byte-level widths
+            return self._ids(units)
+        return flat, np.diff(at, prepend=-1)
+
+    def _learn(self, names: np.ndarray, units: list[bytes], joins: int) -> int:
+        """Add units; the first `joins` of them may follow any other."""
+        flat, size = self._joined_ids(units[:joins]) if joins else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if joins < len(units):
+            more, sizes = self._ids(units[joins:])
+            flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -143,17 +183,20 @@ class Encoder:
         n = len(buf)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(col), np.int64)
-        cut = np.zeros(n, bool)
-        cut[:-1] = (buf[:-1] == 0x20) & _VISIBLE[buf[1:]]
         raw = buf.tobytes()
-        if SPECIAL not in raw:
-            cut[1:] |= _LETTER[buf[:-1]] & _PUNCT[buf[1:]]
-            cut[2:] |= _ASCII[buf[:-2]] & (buf[1:-1] == 0x0A) & _VISIBLE[buf[2:]]
+        kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        cut = np.zeros(n, np.uint8)
+        cut[:-1] = kind[:-1] & (kind[1:] >> 1) & 1
+        plain = SPECIAL not in raw
+        if plain:
+            cut[1:] |= (kind[:-1] >> 2) & (kind[1:] >> 3) & 1
+            cut[2:] |= (kind[:-2] >> 4) & (kind[1:-1] >> 5) & (kind[2:] >> 1) & 1
+        cut = cut.view(bool)
         cut[off[1:-1][off[1:-1] > 0] - 1] &= buf[off[1:-1][off[1:-1] > 0] - 1] != 0x20  # a space that ends its text
         cut[off[:-1][off[:-1] < n]] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], n)
-        h = W.word_hashes(buf, starts, ends)
+        edges = np.append(np.flatnonzero(cut), n)
+        starts, ends = edges[:-1], edges[1:]
+        h = unit_hashes(buf, edges)
         place = self.units.find(h)
         unknown = np.flatnonzero(place < 0)
         if len(unknown):
@@ -164,9 +207,14 @@ class Encoder:
                 unknown = np.flatnonzero(place < 0)
                 names, at, inv = np.unique(h[unknown], return_index=True, return_inverse=True)
             at = unknown[at]
-            new = self._learn(names, [raw[a:z].decode() for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            place[unknown] = new + inv
-        self.met[place[place < CACHE_UNITS]] = True
+            a, z = starts[at], ends[at]
+            joins = (kind[a] & 1 != 0) & (kind[np.minimum(a + 1, n - 1)] & 2 != 0) & (z - a > 1) & plain
+            order = np.argsort(~joins, kind="stable")
+            new = self._learn(names[order], [raw[i:j] for i, j in zip(a[order].tolist(), z[order].tolist(), strict=True)], int(joins.sum()))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place[unknown] = new + rank[inv]
+        self.met[place if self.units.n <= CACHE_UNITS else place[place < CACHE_UNITS]] = True
         each = self.units.size[place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(each)])
         edge = total[np.searchsorted(starts, off)]
@@ -181,18 +229,19 @@ def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, n
     """
     small = vocab < 1 << 16  # then symbols stay under 2**16 and a pair fits 32 bits
     kind, shift, mask = (np.uint32, np.uint32(16), np.uint32(0xFFFF)) if small else (np.uint64, np.uint64(32), np.uint64(0xFFFFFFFF))
-    seq, rules = ids.astype(kind), []
+    seq, rules, ends = ids.astype(kind), [], np.flatnonzero(last)
     room = (1 << 16) - vocab if small else 1 << 20
     spot = lambda x: (x * kind(0x9E3779B1)) >> kind(kind(0).itemsize * 8 - 20)
     none, across = np.int16(-1), kind(np.iinfo(kind).max)  # a pair over an end of a document is no pair
     while len(seq) > 1 and room > 0:
-        key = seq[:-1] << shift | seq[1:]
-        key[last[:-1]] = across
+        key = seq[:-1] << shift
+        key |= seq[1:]
+        key[ends[: np.searchsorted(ends, len(key))]] = across
         ordered = np.sort(key)
         ordered = ordered[: np.searchsorted(ordered, across)]
         if not len(ordered):
             break
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        first = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
         count = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(count >= MIN_COUNT)
         if not len(often):
@@ -204,38 +253,50 @@ def repair(ids: np.ndarray, last: np.ndarray, vocab: int) -> tuple[np.ndarray, n
         table[spot(pairs)] = np.arange(len(pairs))
         found = table[spot(key)]
         at = np.flatnonzero(found >= 0)
-        got = found[at].astype(np.int32)
+        got = found[at]
         hit = pairs[got] == key[at]
         won, got = at[hit], got[hit]
         # of overlapping pairs the more frequent wins, and in a run of one pair every second place
         near = np.flatnonzero(np.diff(won) == 1)
-        before, after = np.full(len(won), len(pairs)), np.full(len(won), len(pairs))
+        before, after = np.full(len(won), len(pairs), np.int16), np.full(len(won), len(pairs), np.int16)
         before[near + 1], after[near] = got[near], got[near + 1]
-        run = np.arange(len(won))
-        run -= np.maximum.accumulate(np.where(before == got, 0, run))
+        run = np.arange(len(won), dtype=np.int32)
+        run -= np.maximum.accumulate(np.where(before == got, np.int32(0), run))
         wins = (run & 1 == 0) & ((run > 0) | (got < before)) & (got <= after)
         won, got = won[wins], got[wins]
-        used, number = np.unique(got, return_inverse=True)
-        seq[won] = vocab + len(rules) + number
+        used = np.flatnonzero(np.bincount(got, minlength=len(pairs)))
+        number = np.zeros(len(pairs), kind)
+        number[used] = np.arange(vocab + len(rules), vocab + len(rules) + len(used), dtype=kind)
+        seq[won] = number[got]
         rules += [(p >> int(shift), p & int(mask)) for p in pairs[used].tolist()]
         room -= len(used)
         keep = np.ones(len(seq), bool)
         keep[won + 1] = False
-        last = last.copy()
-        last[won] = last[won + 1]
-        seq, last = seq[keep], last[keep]
+        seq = seq[keep]
+        ends -= np.searchsorted(won, ends)  # of places before an end, those that gave up the next one
         if len(won) < LEAST_GAIN * len(keep):
             break
+    last = np.zeros(len(seq), bool)
+    last[ends] = True
     return seq, last, np.array(rules, np.int64).reshape(-1, 2)
 
 
 def expansions(rules: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat terminal strings of all nonterminals, with their firsts and lengths."""
-    out: list[tuple[int, ...]] = []
+    one = np.arange(vocab, dtype=np.uint32).tobytes()
+    out: list[bytes] = []
+    for a, b in rules.tolist():
+        out.append((out[a - vocab] if a >= vocab else one[4 * a : 4 * a + 4]) + (out[b - vocab] if b >= vocab else one[4 * b : 4 * b + 4]))
+    size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+    return np.frombuffer(b"".join(out), np.uint32), np.cumsum(size) - size, size
+
+
+def lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
+    """The lengths of expansions() alone."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        out.append((out[a - vocab] if a >= vocab else (a,)) + (out[b - vocab] if b >= vocab else (b,)))
-    size = np.array([len(x) for x in out], np.int64)
-    return np.array([i for x in out for i in x], np.int64), np.cumsum(size) - size, size
+        out.append((out[a - vocab] if a >= vocab else 1) + (out[b - vocab] if b >= vocab else 1))
+    return np.array(out, np.int64)
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
@@ -249,7 +310,7 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, vocab:
     names = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
     flags = np.array([d is not None for d in doc_ids], np.uint8)
     head = _HEAD.pack(b"RPR1", vocab, wide, len(doc_ids), len(rules), len(seq))
-    parts = (names, flags, counts.astype(np.int64), first, rules.astype(symbol), expansions(rules, vocab)[2].astype(np.uint32), seq.astype(symbol))
+    parts = (names, flags, counts.astype(np.int64), first, rules.astype(symbol), lengths(rules, vocab).astype(np.uint32), seq.astype(symbol))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -275,20 +336,15 @@ class Shard:
         self.rules = take(2 * rules, kind).reshape(-1, 2).astype(np.int64)
         self.lengths = take(rules, np.uint32)
         self.symbols = take(symbols, kind)
-        self.flat, self.flat_first, self.flat_size = expansions(self.rules, self.vocab)
+        flat, first, size = expansions(self.rules, self.vocab)
+        # of every symbol; an id stands for itself
+        self.flat = np.concatenate([np.arange(self.vocab, dtype=np.uint32), flat])
+        self.flat_first = np.concatenate([np.arange(self.vocab), self.vocab + first])
+        self.flat_size = np.concatenate([np.ones(self.vocab, np.int64), size])
 
     def decode(self, symbols: np.ndarray) -> np.ndarray:
         s = symbols.astype(np.int64)
-        inner = s >= self.vocab
-        size = np.ones(len(s), np.int64)
-        size[inner] = self.flat_size[s[inner] - self.vocab]
-        start = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[start[~inner]] = s[~inner]
-        if inner.any():
-            k = s[inner] - self.vocab
-            out[spans(start[inner], size[inner])] = self.flat[spans(self.flat_first[k], size[inner])]
-        return out
+        return self.flat[spans(self.flat_first[s], self.flat_size[s])]
 
     def ids(self, i: int) -> np.ndarray:
         """Ids of the i-th document with its end id; nothing else is decoded."""

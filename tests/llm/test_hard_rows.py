@@ -460,6 +460,31 @@ def test_encoder_with_a_small_cache(monkeypatch):
         assert n.tolist() == list(map(len, want)) and ids.tolist() == list(itertools.chain(*want))
 
 
+def test_unknown_units_share_calls_of_the_tokenizer(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    enc = token_output.Encoder(public.path("byte_bpe_50k.json"))
+    edges = ["", " ", "a ", " a", "  b\t", "\n c", "it's", " it's 's", "n\n\n d", "é  É\u00a0x", " \u3000y", "\u2028z ", "🙂 🙂", "<|endoftext", "d, e.\nf", None]
+    new = [" ".join(f"{rng.choice(WORDS)}{rng.choice(WORDS)}é{i}" for i in range(1000)), "x <|endoftext|> y z<|endoftext|>"]
+    asked = []
+    ids_of = token_output.Encoder._ids
+    monkeypatch.setattr(token_output.Encoder, "_ids", lambda self, texts: asked.append(len(texts)) or ids_of(self, texts))
+    for texts in (new[:1], edges, [rng.choice(edges[:-1]) + rng.choice(edges[:-1]) for _ in range(300)], new):
+        ids, n = enc.encode(pa.array(texts, pa.string()))
+        want = [enc.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == list(itertools.chain(*want))
+        assert texts != new[:1] or sum(asked) < 50  # of 1000 units
+    enc.clear()
+    enc.width += 1  # widths that tell nothing: unit by unit
+    ids, n = enc.encode(pa.array(new[:1]))
+    assert ids.tolist() == enc.tokenizer.encode(new[0], add_special_tokens=False).ids
+
+
+def test_unit_hashes_are_word_hashes():
+    buf = rng.integers(0, 256, 300_000).astype(np.uint8)
+    edges = np.unique(np.concatenate([[0, 1, 2, 290_000, 300_000], rng.integers(0, 120_000, 40_000)]))
+    assert np.array_equal(token_output.unit_hashes(buf, edges), token_output.W.word_hashes(buf, edges[:-1], edges[1:]))
+
+
 @pytest.mark.parametrize("vocab", [500, 65_000, 70_000])
 def test_repair_of_any_vocabulary(vocab):
     for n, alphabet in ((0, 3), (1, 3), (5000, 1), (5000, 3), (5000, vocab)):
